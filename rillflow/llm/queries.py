@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontam
+from rillflow.llm import decontam, sql
 from rillflow.llm.common import table
 
 
@@ -23,4 +23,4 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_decontamination": op9_decontamination}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_decontamination": sql.OP9}
