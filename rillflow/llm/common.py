@@ -43,8 +43,9 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's size, without running it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of a plan's size, without running it; where it has none, 16 MB a partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else df.rdd.getNumPartitions() << 24
 
 
 def parts(size: int, target: int, least: int = 1) -> int:

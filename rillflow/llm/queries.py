@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontam, sql
+from rillflow.llm import decontam, sql, warc
 from rillflow.llm.common import table
 
 
@@ -22,5 +22,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_decontamination": op9_decontamination}
-ORACLES = {"op9_decontamination": sql.OP9}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = warc.archived(pages, when=F.timestamp_seconds(F.lit(946684800) + F.coalesce(F.col("page_id"), F.lit(0)) % 86400))
+    kind = pages.schema["page_id"].dataType
+    return index.select(
+        F.col("id").cast(kind).alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers").cast(kind).alias("refers_to"),
+    )
+
+
+QUERIES = {"op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
+ORACLES = {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}

@@ -20,3 +20,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
+
+#: 20 bits at a time: five hex digits become four digits of base 32.
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS s FROM p),
+g AS (SELECT *, list_transform(range(0, 8), lambda i: list_sum(list_transform(range(1, 6), lambda j: (strpos('0123456789abcdef', s[5 * i + j]) - 1) * (16 ** (5 - j))::BIGINT))::BIGINT) AS v FROM x),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[k // 4 + 1] // (32 ** (3 - k % 4))::BIGINT) % 32 + 1)::INT]), '') AS payload_digest FROM g),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to FROM f
+"""
