@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontam, sql, warc
+from rillflow.llm import aq, decontam, sql, warc
 from rillflow.llm.common import table
 
 
@@ -35,5 +35,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return aq.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+QUERIES = {"op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
 ORACLES = {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
