@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import aq, decontam, lines, neardup, sql, warc
+from rillflow.llm import aq, decontam, lines, neardup, packing, sql, warc
 from rillflow.llm.common import table
 
 
@@ -40,6 +40,12 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aq.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a non-blank line with the line of its class that stays."""
     found = lines.line_classes(table(spark, sf_dir, "documents"))
@@ -51,5 +57,5 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
+QUERIES = {"op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
 ORACLES = {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
