@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import aq, decontam, lines, neardup, packing, sql, warc
-from rillflow.llm.common import table
+from rillflow.llm import aq, decontam, lines, neardup, packing, quality, sql, warc
+from rillflow.llm.common import fold, table
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +57,13 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"))
 
 
-QUERIES = {"op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    scored = quality.scored(docs.select("doc_id", "text"), quality.learn(docs, labels))
+    held = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= quality.CUTOFF).cast("int").alias("predicted"))
+
+
+QUERIES = {"op8_quality": op8_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
 ORACLES = {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
