@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import aq, decontam, lines, neardup, packing, quality, sql, warc
+from rillflow.llm import aq, decontam, html, lines, neardup, packing, quality, sql, warc
 from rillflow.llm.common import fold, table
 
 
@@ -65,5 +65,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= quality.CUTOFF).cast("int").alias("predicted"))
 
 
-QUERIES = {"op8_quality": op8_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extracted(table(spark, sf_dir, "pages"), into="text")
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+QUERIES = {"op10_html": op10_html, "op8_quality": op8_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
 ORACLES = {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
