@@ -27,9 +27,9 @@ _COMMAS = re.compile(r"[,،、，;；]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Blocks that may not stand in a paragraph and so end an open one.
-ENDS_P = BLOCK - frozenset("body caption html legend tbody tfoot thead tr".split())
+ENDS_P = BLOCK - frozenset("body caption html legend tbody td tfoot th thead tr".split())
 INLINE_FORMAT = frozenset("a b big code em font i nobr s small span strike strong tt u".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("script style noscript template iframe object embed applet svg math canvas audio video map nav footer aside header form fieldset button select option datalist textarea input label dialog menu head title noembed noframes xmp".split())
@@ -102,7 +102,7 @@ class Page:
                 node = self._open(tag, m[3], stack[-1])
                 if tag in BLOCK:
                     events.append((node, None))
-                elif tag in ("br", "td", "th"):
+                elif tag == "br":
                     events.append((stack[-1], " "))
                 if tag in RAW:
                     lower = lower if lower is not None else html.lower()
@@ -163,7 +163,7 @@ class Page:
                 continue
             if node not in owner:
                 block, link = node, False
-                while block > 0 and tag[block] not in BLOCK and tag[block] not in ("td", "th"):
+                while block > 0 and tag[block] not in BLOCK:
                     link = link or tag[block] == "a"
                     block = parent[block]
                 owner[node] = (block, link)
