@@ -23,20 +23,26 @@ from rillflow.llm.common import written
 #: Members compared with one copy of their head; texts of a block.
 SPLIT, BLOCK = 256, 128
 #: Tables of at most so many ids or keys (8 to 40 bytes each) are broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
-Features = tuple[np.ndarray, np.ndarray]
+#: Sorted distinct hashes, positive weights, sum of the weights.
+Features = tuple[np.ndarray, np.ndarray, float]
 
 
 def weighted_jaccard(a: Features, b: Features) -> float:
-    """Sum of minima over sum of maxima; features are (sorted distinct hashes, positive weights). Two empty ones: 0."""
-    (ka, wa), (kb, wb) = a, b
+    """Sum of minima over sum of maxima. Two empty ones: 0."""
+    (ka, wa, ta), (kb, wb, tb) = a, b
     if not len(ka) or not len(kb):
         return 0.0
     at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
     both = kb[at] == ka
     low = np.minimum(wa[both], wb[at[both]]).sum()
-    return float(low / (wa.sum() + wb.sum() - low))
+    return float(low / (ta + tb - low))
+
+
+def similar(a: Features, b: Features, least: float) -> bool:
+    """Whether the similarity is at least `least`; it can't exceed the ratio of the sums."""
+    return min(a[2], b[2]) >= least * max(a[2], b[2]) * (1 - 1e-9) and weighted_jaccard(a, b) >= least
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -102,39 +108,38 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionAll(roots.select(F.col("class").alias("id"), "class").distinct())
 
 
-def _stars(features: Callable[[str], Features], least: float):
+def _stars(features: Callable[[list[str]], list[Features]], least: float):
     """Rows (head, salt, role, id, text) in order; role 0 is the head's own text."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None
         for b in batches:
             found = []
-            for h, s, role, i, text in zip(*(b.column(c).to_pylist() for c in ("head", "salt", "role", "id", "text"))):
+            for h, s, role, i, f in zip(*(b.column(c).to_pylist() for c in ("head", "salt", "role", "id")), features(b.column("text").to_pylist())):
                 if role == 0:
-                    key, head = (h, s), features(text)
-                elif key == (h, s) and weighted_jaccard(head, features(text)) >= least:
+                    key, head = (h, s), f
+                elif key == (h, s) and similar(head, f, least):
                     found.append((h, i))
             yield _pairs(found)
 
     return check
 
 
-def _blocks(features: Callable[[str], Features], least: float):
+def _blocks(features: Callable[[list[str]], list[Features]], least: float):
     """Rows (key, block, rest, role, id, class, text) in order; role 0 are the texts that all of the block are compared with."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, union = None, [], _Union()
         for b in batches:
             found = []
-            for k, bl, r, role, i, c, text in zip(*(b.column(x).to_pylist() for x in ("key", "block", "rest", "role", "id", "class", "text"))):
+            for k, bl, r, role, i, c, f in zip(*(b.column(x).to_pylist() for x in ("key", "block", "rest", "role", "id", "class")), features(b.column("text").to_pylist())):
                 if key != (k, bl, r):
                     key, held, union = (k, bl, r), [], _Union()
-                f = features(text)
                 if role == 0:
                     held.append((i, c, f))
                     continue
                 for j, d, g in held:
-                    if union.find(c) != union.find(d) and weighted_jaccard(f, g) >= least:
+                    if union.find(c) != union.find(d) and similar(f, g, least):
                         union.join(c, d)
                         found.append((i, j))
             yield _pairs(found)
@@ -154,14 +159,17 @@ def _each(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
 
-def classes(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[str], Features], least: float) -> DataFrame:
+def classes(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[list[str]], list[Features]], least: float) -> DataFrame:
     """(id, class) of the ids that are similar to another: the smallest id of their class.
 
     `nodes`: (id bigint, keys array<bigint>), a cheap table, ids unique, texts distinct. `texts`: from a
-    table of ids to (id, text). `features`: from a text to its weighted features; `least`: similarity.
+    table of ids to (id, text). `features`: from texts to their weighted features; `least`: similarity.
     """
     bands = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
-    shared = written(bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1"), "bands")
+    # Keys of equal members (equal counts, extremes and 128 bits of hashes) say the same: one of them is enough.
+    sums = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")]
+    shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), *sums).where("n > 1")
+    shared = written(shared.groupBy("lo", "hi", "n", "x", "y").agg(F.min("key").alias("key")), "bands")
     large = bounded(shared.where("n > 2").select("key", F.col("lo").alias("head"), "n"))
     grouped = written(bands.join(large, "key"), "grouped")
     pairs = shared.where("n = 2").select(F.col("lo").alias("head"), F.col("hi").alias("id")).unionAll(grouped.where("id <> head").select("head", "id"))

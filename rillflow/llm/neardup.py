@@ -78,14 +78,11 @@ class Weigher:
             at += len(w)
         return out
 
-    def __call__(self, text: str | None) -> linking.Features:
-        return self.many([text])[0]
-
 
 def _shingles(h: np.ndarray, weight: np.ndarray) -> linking.Features:
     """Sorted distinct hashes of runs of five words (of all words, if fewer) and their weights."""
     if not len(h):
-        return h, weight
+        return h, weight, 0.0
     size = min(SHINGLE, len(h))
     n = len(h) - size + 1
     key, total = np.full(n, size, np.uint64), np.zeros(n)
@@ -94,12 +91,13 @@ def _shingles(h: np.ndarray, weight: np.ndarray) -> linking.Features:
         key ^= key >> np.uint64(29)
         total += weight[j : j + n]
     key, first, count = np.unique(mix(key), return_index=True, return_counts=True)
-    return key, count * total[first] / size
+    weights = count * total[first] / size
+    return key, weights, float(weights.sum())
 
 
 def samples(f: linking.Features) -> np.ndarray:
     """Consistent weighted samples, as hashes of (feature, quantised weight)."""
-    h, w = f
+    h, w, _ = f
     g = (h[None, :] ^ _SEEDS[:, None]) * _ODD[:, None]
     g ^= g >> np.uint64(32)
     low = np.uint64(_GRAIN - 1)
@@ -168,16 +166,13 @@ class _Shared:
             _WEIGHERS[key] = Weigher(*self.shared.value)
         return _WEIGHERS[key]
 
-    def __call__(self, text: str | None) -> linking.Features:
-        return self.weigher()(text)
+    def __call__(self, texts: list[str | None]) -> list[linking.Features]:
+        return [f for i in range(0, len(texts), 200) for f in self.weigher().many(texts[i : i + 200])]
 
 
 def _keys(shared: _Shared):
     def sign(texts: pa.Array) -> pa.Array:
-        out, held = [], texts.to_pylist()
-        for i in range(0, len(held), 200):
-            out += [keys(f) for f in shared.weigher().many(held[i : i + 200])]
-        return pa.array(out, pa.list_(pa.int64()))
+        return pa.array([keys(f) for f in shared(texts.to_pylist())], pa.list_(pa.int64()))
 
     return F.arrow_udf(sign, T.ArrayType(T.LongType()))
 

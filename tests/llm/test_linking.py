@@ -32,7 +32,7 @@ def test_components(spark, shape):
 
 def letters(text):
     h = np.array(sorted({ord(c) for c in text}), np.uint64)
-    return h, np.ones(len(h))
+    return h, np.ones(len(h)), float(len(h))
 
 
 def test_no_link_between_classes_is_lost(spark, monkeypatch):
@@ -43,7 +43,7 @@ def test_no_link_between_classes_is_lost(spark, monkeypatch):
     texts = {i: "".join(rng.sample("abcdefgh", rng.randrange(3, 8))) for i in range(60)}
     nodes = spark.createDataFrame([(i, [7, 8 + i % 2]) for i in texts], "id long, keys array<long>")
     table = spark.createDataFrame(list(texts.items()), "id long, text string")
-    got = linking.classes(nodes, lambda ids: table.join(ids, "id"), letters, 0.8)
+    got = linking.classes(nodes, lambda ids: table.join(ids, "id"), lambda x: list(map(letters, x)), 0.8)
     links = [(a, b) for a in texts for b in texts if a < b and linking.weighted_jaccard(letters(texts[a]), letters(texts[b])) >= 0.8]
     want = closure(texts, links)
     have = {r.id: r["class"] for r in got.collect()}
@@ -51,8 +51,8 @@ def test_no_link_between_classes_is_lost(spark, monkeypatch):
 
 
 def test_weighted_jaccard():
-    a = (np.array([1, 3, 5], np.uint64), np.array([1.0, 2.0, 3.0]))
-    b = (np.array([3, 5, 9], np.uint64), np.array([1.0, 4.0, 1.0]))
+    a = (np.array([1, 3, 5], np.uint64), np.array([1.0, 2.0, 3.0]), 6.0)
+    b = (np.array([3, 5, 9], np.uint64), np.array([1.0, 4.0, 1.0]), 6.0)
     assert linking.weighted_jaccard(a, b) == pytest.approx(4 / 8)
-    empty = (np.zeros(0, np.uint64), np.zeros(0))
+    empty = (np.zeros(0, np.uint64), np.zeros(0), 0.0)
     assert linking.weighted_jaccard(a, empty) == 0 == linking.weighted_jaccard(empty, empty)

@@ -72,9 +72,9 @@ def test_samples_collide_as_often_as_texts_are_similar():
     same, n = 0, 0
     for trial in range(60):
         h = np.unique(rng.integers(0, 1 << 62, 150).astype(np.uint64))
-        a = (h[:120], rng.random(120) + 0.5)
-        wb = np.append(a[1][20:], rng.random(len(h) - 120) + 0.5)
-        b = (h[20:], wb)
+        wa = rng.random(120) + 0.5
+        wb = np.append(wa[20:], rng.random(len(h) - 120) + 0.5)
+        a, b = (h[:120], wa, wa.sum()), (h[20:], wb, wb.sum())
         same += (neardup.samples(a) == neardup.samples(b)).sum()
         n += neardup.BANDS * neardup.ROWS * linking.weighted_jaccard(a, b)
     assert same / n == pytest.approx(1, abs=0.1)
