@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import aq, decontam, html, lines, neardup, packing, quality, sql, warc
+from rillflow.llm import aq, decontam, html, lines, lm, neardup, packing, quality, sql, warc
 from rillflow.llm.common import fold, table
 
 
@@ -70,5 +70,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {"op10_html": op10_html, "op8_quality": op8_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 7) == 2
+    model = lm.train(docs.where(~held))
+    return lm.scored(docs, model, into="lm").select("doc_id", held.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "lm.base_score", "lm.score")
+
+
+QUERIES = {"op1_lm": op1_lm, "op10_html": op10_html, "op8_quality": op8_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
 ORACLES = {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
