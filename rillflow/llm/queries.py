@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import aq, decontam, html, lines, lm, neardup, packing, quality, sql, warc
+from rillflow.llm import aq, decontam, html, lines, lm, neardup, packing, quality, sql, suffix, warc
 from rillflow.llm.common import fold, table
 
 
@@ -35,6 +35,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeated_bytes(table(spark, sf_dir, "documents"))
+    odd, even = F.filter("spans", lambda x, i: i % 2 == 1), F.filter("spans", lambda x, i: i % 2 == 0)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return found.select("doc_id", "n_bytes", (total(odd) - total(even)).alias("n_removed"), (F.size("spans") / 2).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return aq.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
@@ -77,5 +84,5 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(docs, model, into="lm").select("doc_id", held.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "lm.base_score", "lm.score")
 
 
-QUERIES = {"op1_lm": op1_lm, "op10_html": op10_html, "op8_quality": op8_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
+QUERIES = {"op1_lm": op1_lm, "op2_suffix_dedup": op2_suffix_dedup, "op10_html": op10_html, "op8_quality": op8_quality, "op4_packing": op4_packing, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op3_nearest": op3_nearest, "op7_warc": op7_warc, "op9_decontamination": op9_decontamination}
 ORACLES = {"op7_warc": sql.OP7, "op9_decontamination": sql.OP9}
