@@ -14,7 +14,7 @@ from rillflow.operators import lookup
 from rillflow.operators.relational import placed
 from rillflow.plans import validate
 from rillflow.plans.spec import Node, Spec, SpecError, load, seconds
-from rillflow.rowkind import OP, with_op
+from rillflow.rowkind import INSERT, OP, with_op
 from rillflow.sources import connect, sinks
 from rillflow.streaming.state import MemoryState
 
@@ -59,7 +59,7 @@ class Session:
     def view(self, name: str, df: DataFrame) -> str:
         """Registers `df`; a dotted name becomes one word in the session."""
         plain = name.replace(".", "__")
-        df.createOrReplaceTempView(plain)
+        self.own(df).createOrReplaceTempView(plain)
         return plain
 
     def own(self, df: DataFrame) -> DataFrame:
@@ -77,6 +77,7 @@ def narrow_sql(session: Session, text: str, inputs: dict[str, DataFrame], tables
     asked = lookup.checks(text) if tables else []
     names: dict[str, str] = {}
     for name, df in inputs.items():
+        df = with_op(session.own(df))
         for n, (table, value) in enumerate(asked):
             df = lookup.check(df.withColumn(f"_value_{n}", F.expr(library.rewritten(value))), session.own(tables[table]), f"_value_{n}", f"_check_{n}").drop(f"_value_{n}")
         names[name] = session.view(f"in_{name}", df)
@@ -84,9 +85,10 @@ def narrow_sql(session: Session, text: str, inputs: dict[str, DataFrame], tables
     sql = library.rewritten(text, {"dynamic_table_check": lambda args: f"`_check_{next(count)}`"} if asked else None)
     for name, view in sorted(names.items(), key=lambda x: -len(x[0])):
         sql = renamed(sql, name, view)
-    df = session.spark.sql(_carried(session, sql))
+    validate.check(session.spark.sql(sql))
+    df = session.spark.sql(_carried(sql))
     hidden = [c for c in df.columns if c.startswith("_check_")]
-    return with_op(validate.check(df).drop(*hidden))
+    return with_op(df.drop(*hidden))
 
 
 def renamed(sql: str, name: str, view: str) -> str:
@@ -117,13 +119,24 @@ def renamed(sql: str, name: str, view: str) -> str:
     return "".join(out)
 
 
-def _carried(session: Session, sql: str) -> str:
+def _carried(sql: str) -> str:
     """Adds the change kind to every SELECT list of a source that has it and doesn't name it."""
     from rillflow.functions.sqltext import tokens
 
     parts = tokens(sql)
-    out = []
-    for at, (kind, text) in enumerate(parts):
+    out, depth, open_select = [], 0, False
+    for at, (kind, text) in enumerate([*parts, ("end", "")]):
+        # A branch of a union that reads no table inserts.
+        depth += (kind == "other" and text == "(") - (kind == "other" and text == ")")
+        word = text.lower() if kind == "word" and not depth else kind if kind == "end" else ""
+        if word in ("union", "end"):
+            if open_select and len(out) and any(t[1].lower() == "union" for t in parts):
+                out.append(f" , '{INSERT}' AS {OP} ")
+            open_select = False
+        elif word == "select":
+            open_select = True
+        elif word == "from":
+            open_select = False
         words = [t[1].lower() for t in parts[max(0, at - 8) : at] if t[0] != "space"]
         if kind == "word" and text.lower() == "from" and not (words[-1:] == ["distinct"] and words[-2:-1] in (["is"], ["not"])):
             level, k, listed = 0, at - 1, []
