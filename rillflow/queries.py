@@ -102,9 +102,9 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
 _CHANGES = f"(SELECT event_id, user_id, ts, value::DECIMAL(18,2) AS amount, event_type, {_KINDS} FROM events)"
 
 
-@_query("keep_last", f"SELECT event_id, user_id, amount, {OP} FROM {_CHANGES} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+@_query("keep_last", f"SELECT event_id, user_id, amount::DOUBLE AS amount, {OP} FROM {_CHANGES} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def keep_last(spark: SparkSession, d: str) -> DataFrame:
-    return changelog.keep_last(_changes(spark, d), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "amount", OP)
+    return changelog.keep_last(_changes(spark, d), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", F.col("amount").cast("double").alias("amount"), OP)
 
 
 @_query("latest_version", f"SELECT event_id, user_id FROM (SELECT * FROM {_CHANGES} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE {OP} <> 'd'")
@@ -122,27 +122,27 @@ def landing_dedup(spark: SparkSession, d: str) -> DataFrame:
     "upsert_merge",
     f"""WITH n AS (SELECT user_id, event_id, amount, {OP} FROM {_CHANGES} WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
     o AS (SELECT user_id, event_id, amount FROM {_CHANGES} WHERE event_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
-    SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_id, o.event_id) AS event_id, CASE WHEN n.user_id IS NOT NULL THEN n.amount ELSE o.amount END AS amount
+    SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_id, o.event_id) AS event_id, (CASE WHEN n.user_id IS NOT NULL THEN n.amount ELSE o.amount END)::DOUBLE AS amount
     FROM o FULL JOIN n ON o.user_id = n.user_id WHERE coalesce({OP}, 'i') <> 'd'""",
 )
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     changes = _changes(spark, d).select("user_id", "event_id", "amount", OP)
     current = changelog.keep_last(changes.where("event_id % 3 = 1"), ["user_id"], ["event_id"]).drop(OP)
-    return changelog.upsert(current, changes.where("event_id % 3 = 0"), ["user_id"], ["event_id"])
+    return changelog.upsert(current, changes.where("event_id % 3 = 0"), ["user_id"], ["event_id"]).withColumn("amount", F.col("amount").cast("double"))
 
 
 _SIGNED = f"sum(CASE WHEN {OP} = 'd' THEN -amount ELSE amount END)"
 _ONES = f"sum(CASE {OP} WHEN 'd' THEN -1 WHEN 'u' THEN 0 ELSE 1 END)::BIGINT"
 
 
-@_query("incremental_aggregate", f"SELECT event_type, {_SIGNED}::DECIMAL(28,2) AS total, {_ONES} AS n, min(amount) AS low, max(amount) AS high, {_SIGNED}::DECIMAL(28,2) AS mean_sum, {_ONES} AS mean_count FROM {_CHANGES} GROUP BY event_type")
+@_query("incremental_aggregate", f"SELECT event_type, {_SIGNED}::DOUBLE AS total, {_ONES} AS n, min(amount)::DOUBLE AS low, max(amount)::DOUBLE AS high, {_SIGNED}::DOUBLE AS mean_sum, {_ONES} AS mean_count FROM {_CHANGES} GROUP BY event_type")
 def incremental_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """Two batches merged one after the other."""
     measures = {"total": {"fn": "sum", "from": "amount", "type": "decimal(28,2)"}, "n": {"fn": "count"}, "low": {"fn": "min", "from": "amount"}, "high": {"fn": "max", "from": "amount"}, "mean": {"fn": "avg", "from": "amount", "type": "decimal(28,2)"}}
     rows, state = _changes(spark, d), None
     for part in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")):
         state = changelog.merge_aggregate(state, changelog.batch_aggregate(part, ["event_type"], measures), ["event_type"], measures)
-    return state.withColumns({c: F.col(c).cast("decimal(28,2)") for c in ("total", "mean_sum")})
+    return state.withColumns({c: F.col(c).cast("double") for c in ("total", "low", "high", "mean_sum")})
 
 
 @_query("global_aggregate", f"SELECT 'value' AS key, {_ONES} AS n FROM {_CHANGES}")
@@ -178,7 +178,7 @@ def unnest_lockstep(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- session SQL -----------------------------------------------------------------------------------
 
-_wide("group_having", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_quantity AS decimal(18,2))) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 1")
+_wide("group_having", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS decimal(18,2))) AS double) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 1")
 _wide("filtered_aggregate", "orders", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 1000) AS n, count(DISTINCT o_custkey) AS c FROM orders GROUP BY o_orderstatus")
 _wide("rollup", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 _wide("cube", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -194,7 +194,7 @@ _wide("scalar_subquery", "orders", "SELECT o_orderkey FROM orders WHERE o_totalp
 _wide("set_operations", "orders customer", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 EXCEPT SELECT c_custkey AS k FROM customer WHERE c_nationkey = 3")
 _wide("union_distinct", "nation region", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey AS k FROM region")
 _wide("ranking_windows", "customer", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS rk, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS dr, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nt FROM customer")
-_wide("frame_windows", "orders", "SELECT o_orderkey, sum(CAST(o_totalprice AS decimal(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, count(*) OVER (PARTITION BY o_custkey) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, max(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM orders")
+_wide("frame_windows", "orders", "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS decimal(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS double) AS run, count(*) OVER (PARTITION BY o_custkey) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, max(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM orders")
 _wide("top_k", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 _wide("ordered_lists", "nation", "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 _wide("json_aggregates", "nation", "SELECT n_regionkey, json_objectagg_null_on_null(n_name, n_nationkey) AS o FROM nation GROUP BY n_regionkey", """SELECT n_regionkey, '{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_name) || '}' AS o FROM nation GROUP BY n_regionkey""")
