@@ -267,6 +267,7 @@ class Pipeline:
             missing = [k for k in s.primary_key if k not in df.columns]
             if missing:
                 raise SpecError(f"{s.name}: its primary key {', '.join(missing)} isn't there")
+            sinks.checked_decimals(df, s)
             sinks.open_sink(self.session.spark, s, self.plugins.sinks).write(df, epoch)
         for i in shared:
             out[i].unpersist()
@@ -275,6 +276,10 @@ class Pipeline:
         """Every node as a batch, unwritten."""
         return self.outputs({n: self.session.own(connect.open_source(self.session.spark, s, False, self.plugins.sources)) for n, s in self.spec.sources.items()})
 
+    def sample(self, node: str, n: int = 10) -> list[dict]:
+        """A few rows of a node, as live inspection shows them."""
+        return [json.loads(r) for r in self.frames()[node].limit(n).toJSON().collect()]
+
     def explain(self) -> dict[str, list[str]]:
         """Dry run: node names of each transform's analysed plan."""
         return {n: validate.node_names(df) for n, df in self.frames().items()}

@@ -210,6 +210,17 @@ class Kafka(Sink):
 WRITERS: dict[str, type[Sink]] = {"blackhole": Blackhole, "print": Print, "memory": Memory, "file": Files, "webhook": Webhook, "postgres": Upsert, "postgres_aggregate": Aggregate, "clickhouse": Replacing, "kafka": Kafka}
 
 
+#: Sinks whose target holds decimals of any size; others take them as text or native decimals.
+WIDE_DECIMALS = frozenset(("postgres", "postgres_aggregate", "clickhouse", "memory", "print", "blackhole", "file", "webhook"))
+
+
+def checked_decimals(df: DataFrame, node: Node) -> None:
+    """A wide decimal (metadata `decimal_arb`) goes only to sinks that can hold it."""
+    wide = [f.name for f in df.schema.fields if (f.metadata or {}).get("decimal_arb")]
+    if wide and node.kind not in WIDE_DECIMALS:
+        raise SpecError(f"{node.name}: a {node.kind} sink can't hold the wide decimals {', '.join(wide)}")
+
+
 def open_sink(spark: SparkSession, node: Node, plugins: dict[str, Callable] | None = None) -> Sink:
     make = (plugins or {}).get(node.kind) or WRITERS.get(node.kind)
     if make is None:
