@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Elements of a queue or a heap that stay in memory.
-BUFFER = 1 << 16
+BUFFER = 1 << 18
 #: Elements that a step of an induction handles.
 STEP = 1 << 16
 #: Reduced strings of at most so many names are sorted in memory.
@@ -123,11 +123,11 @@ class Heap:
         return heapq.heappop(self.heap)
 
 
-def in_memory(names: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes of a string of integers, by doubling."""
+def in_memory(names: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Ranks of the suffixes of a string of integers by their first `most` integers (all), by doubling."""
     rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
     n, step = len(names), 1
-    while step < n and rank.max() < n - 1:
+    while step < min(n, most or n) and rank.max() < n - 1:
         second = np.zeros(n, np.int64)
         second[: n - step] = rank[step:] + 1
         key = rank * (n + 1) + second
@@ -197,7 +197,10 @@ def by_heap(names: np.ndarray, folder: str, buffer: int = BUFFER) -> np.ndarray:
 
 
 class Sorter:
-    """Sorts the suffixes of `text` (non-empty bytes) and gives them with common prefixes capped at `depth` (below 255)."""
+    """Sorts the suffixes of `text` (non-empty bytes) by their first `depth` (below 255) bytes at least and gives them with common prefixes capped at `depth`.
+
+    LMS suffixes are two bytes apart or more, so their first depth / 2 + 1 names tell `depth` bytes.
+    """
 
     def __init__(self, text: np.ndarray, depth: int, folder: str | None = None, buffer: int = BUFFER, in_memory_names: int = IN_MEMORY):
         self.depth, self.folder, self.buffer, self.budget = depth, folder or tempfile.gettempdir(), buffer, in_memory_names
@@ -235,47 +238,44 @@ class Sorter:
             out[live] += 1
         return out
 
-    def _spread(self, items: np.ndarray, wanted: np.ndarray, queues: dict[int, Queue], least: np.ndarray) -> None:
+    def _spread(self, items: np.ndarray, wanted: np.ndarray, queues: dict[int, Queue], least: np.ndarray | None) -> None:
         """Pushes the suffixes before `items` where wanted; `lcp` of an item is with the item before it.
 
-        `least[c]`: the least common prefix since the last push to c, -1 before the first.
+        `least[c]`: the least common prefix since the last push to c, -1 before the first; None: no prefixes are asked for.
         """
-        lcp = items["lcp"].astype(np.int16)
         picked = np.flatnonzero(wanted)
+        if least is not None and len(items):
+            lcp = items["lcp"].astype(np.int16)
+            before, lowest = least.copy(), lcp.min()
+            np.minimum(least, lowest, out=least)
+        if not len(picked):
+            return
         targets = self.s[items["at"][picked] - 1]
         by_target = np.argsort(targets, kind="stable")
         picked, targets = picked[by_target], targets[by_target]
-        first = np.flatnonzero(np.append(True, targets[1:] != targets[:-1])) if len(targets) else np.zeros(0, np.int64)
-        low = least.copy()
-        seen = np.minimum(least, lcp.min()) if len(lcp) else least.copy()
-        if len(picked):
+        first = np.flatnonzero(np.append(True, targets[1:] != targets[:-1]))
+        heads, ends = targets[first], np.append(first[1:], len(picked))
+        out = np.zeros(len(picked), ELEMENT)
+        out["at"] = items["at"][picked] - 1
+        if least is not None:
             # The least of lcp over (previous pick of the target, this pick]: a sparse table of minima.
             begin = np.zeros(len(picked), np.int64)
             begin[1:] = picked[:-1] + 1
             begin[first] = 0
-            span = picked - begin + 1
-            level = np.zeros(len(span), np.int64)
-            level[:] = np.frexp(span.astype(np.float64))[1] - 1
+            level = np.frexp((picked - begin + 1).astype(np.float64))[1] - 1
             table, value = lcp, np.empty(len(picked), np.int16)
             for k in range(int(level.max()) + 1):
                 here = np.flatnonzero(level == k)
                 value[here] = np.minimum(table[begin[here]], table[picked[here] - (1 << k) + 1])
                 if k < level.max():
                     table = np.minimum(table[: -(1 << k)], table[1 << k :])
-            heads = targets[first]
-            value[first] = np.minimum(value[first], np.where(low[heads] < 0, -1, low[heads]))
-            out = np.empty(len(picked), ELEMENT)
-            out["at"] = items["at"][picked] - 1
+            value[first] = np.minimum(value[first], before[heads])
             out["lcp"] = np.minimum(value + 1, self.depth)
-            ends = np.append(first[1:], len(picked))
             # What has passed since the last pick of each target.
-            back = np.minimum.accumulate(lcp[::-1])[::-1]
-            for c, a, z in zip(heads.tolist(), first.tolist(), ends.tolist()):
-                queues[c].push(out[a:z])
-                last = int(picked[z - 1])
-                seen[c] = back[last + 1] if last + 1 < len(lcp) else self.depth
-        least[:] = seen
-        least[low < 0] = np.where(np.isin(np.flatnonzero(low < 0), targets), least[low < 0], -1)
+            back = np.append(np.minimum.accumulate(lcp[::-1])[::-1], self.depth)
+            least[heads] = back[picked[ends - 1] + 1]
+        for c, a, z in zip(heads.tolist(), first.tolist(), ends.tolist()):
+            queues[c].push(out[a:z])
 
     def _seam(self, last: int, first: int) -> int:
         return int(self._common(np.array([last]), np.array([first]))[0])
@@ -286,7 +286,7 @@ class Sorter:
         `seeds`: LMS suffixes by symbol. Unless `whole`, their order within a symbol is any.
         """
         larger, kept = self._queues(), self._queues()
-        least = np.full(258, -1, np.int16)
+        least = np.full(258, -1, np.int16) if whole else None
         for c in self.symbols.tolist():
             last = -1
             while len(x := larger[c].pop()):
@@ -303,7 +303,7 @@ class Sorter:
                     start = False
                 self._spread(x, x["at"] > 0, larger, least)
         smaller = self._queues()
-        least = np.full(258, -1, np.int16)
+        least = np.full(258, -1, np.int16) if whole else None
         end = np.zeros(1, ELEMENT)
         end["at"] = self.n
         smaller[0].push(end)
@@ -370,6 +370,6 @@ class Sorter:
         order = np.concatenate([x["at"][is_lms[x["at"]]] for x in first])[::-1]
         names = self._names(order)
         if names.max(initial=0) + 1 < len(names):
-            ranks = in_memory(names) if len(names) <= self.budget else by_heap(names, self.folder, self.buffer)
+            ranks = in_memory(names, self.depth // 2 + 1) if len(names) <= self.budget else by_heap(names, self.folder, self.buffer)
             order = self.lms[np.argsort(ranks, kind="stable")]
         yield from self._induce(self._by_symbol(order, True), True)

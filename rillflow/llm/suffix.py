@@ -8,8 +8,8 @@ least hash. Equal windows have equal anchors, so windows meet at their anchor's
 1. anchors are counted; those of one document only are done with (most are);
 2. the context of an anchor (the text of all windows that belong to it there) is compared by hash with
    the others of its anchor: where a smaller document has it too, all of it goes;
-3. contexts that are their document's own but share an anchor with others are sorted: each shard of
-   anchors gets a suffix array with common prefixes by external induced sorting, and runs of suffixes
+3. contexts that are their document's own but share with another of their anchor the bytes that half a
+   window adds to it on the left or on the right (equal windows do) are sorted: each shard of anchors gets a suffix array with common prefixes by external induced sorting, and runs of suffixes
    that agree for `length` bytes give the smallest document of each window.
 
 An anchor of `HOT` or more documents would make a large group in step 3, so its windows are compared in
@@ -36,7 +36,7 @@ from rillflow.llm.lm import _packed, _unpacked
 LENGTH, KGRAM = 50, 16
 HOT = 4096
 #: Bytes of documents of a group and of a shard; bytes handled at a time.
-GROUP_BYTES, PART_BYTES, CHUNK = 8 << 20, 16 << 20, 1 << 20
+GROUP_BYTES, PART_BYTES, CHUNK = 2 << 20, 4 << 20, 1 << 16
 U64 = np.uint64
 
 _BASE = 0x9E3779B97F4A7C15
@@ -67,10 +67,9 @@ class Texts:
                 stop += 1
             found.append(self._anchors(at, stop))
             at = stop
-        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, U64)] * 5
-        #: By anchor: document, first and last window start, hash, hash of the context.
-        self.doc, self.low, self.high, self.hash, self.context = columns
-        self.windows: dict[int, np.ndarray] = {}
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, U64)] * 7
+        #: By anchor: document, first and last window start, hash, hash of the context, of the bytes to the left and right.
+        self.doc, self.low, self.high, self.hash, self.context, self.left, self.right = columns
 
     def _prefix(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         power, inverse = _powers(len(raw) + 1)
@@ -83,7 +82,7 @@ class Texts:
         size = np.array([len(x) for x in self.raw[start:stop]], np.int64)
         begin = np.cumsum(size) - size
         raw = np.frombuffer(b"".join(self.raw[start:stop]), np.uint8)
-        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2 + (np.zeros(0, np.uint32),) * 2
         if not (size >= length).any():
             return none
         total, inverse = self._prefix(raw)
@@ -108,7 +107,15 @@ class Texts:
         low, high, doc, anchor = at[first], at[last], doc[first], anchor[first]
         end = high + length
         context = mix((total[end] - total[low]) * inverse[low] + U64(0xC2B2AE3D27D4EB4F) * ((end - low).astype(U64) * U64(1 << 20) + (anchor - low).astype(U64)))
-        return doc + start, low - begin[doc], high - begin[doc], gram[anchor], context
+        # A window has at least half of its other bytes on one side of the anchor; 0: no window here has.
+        half = (length - KGRAM + 1) // 2
+        sides = []
+        for ok, a in ((low <= anchor - half, anchor - half), (end >= anchor + KGRAM + half, anchor)):
+            a = np.where(ok, a, 0)
+            z = np.where(ok, a + KGRAM + half, 0)
+            sides.append(np.where(ok, (mix((total[z] - total[a]) * inverse[a]) >> U64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0)))
+        # The least of hashes are small ones: mixed again, they spread evenly.
+        return doc + start, low - begin[doc], high - begin[doc], mix(gram[anchor] + U64(5)), context, *sides
 
     def hot_windows(self, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
         """Windows of some anchors as anchors of their own."""
@@ -118,7 +125,8 @@ class Texts:
             at = ragged(self.low[own], self.high[own] - self.low[own] + 1)
             total, inverse = self._prefix(np.frombuffer(self.raw[d], np.uint8))
             h = (total[at + self.length] - total[at]) * inverse[at]
-            out.append((np.full(len(at), d), at, at, mix(h + U64(11)), mix(h + U64(77))))
+            none = np.zeros(len(at), np.uint32)
+            out.append((np.full(len(at), d), at, at, mix(h + U64(11)), mix(h + U64(77)), none, none))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else ()
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +140,12 @@ class Texts:
 
     def shared(self, verdict: np.ndarray) -> None:
         """Keeps the anchors that are in other documents too; splits hot ones into windows."""
-        kind = verdict[np.searchsorted(self.counted()[0], self.hash)] if len(self.hash) else np.zeros(0, np.uint8)
+        kind = verdict[np.unique(self.hash, return_inverse=True)[1]]
         hot = self.hot_windows(np.flatnonzero(kind == 2))
-        columns = [x[kind == 1] for x in (self.doc, self.low, self.high, self.hash, self.context)]
-        self.doc, self.low, self.high, self.hash, self.context = [np.concatenate(x) for x in zip(columns, hot)] if hot else columns
-        order = np.lexsort((self.ids[self.doc], self.context, self.hash))
-        self.doc, self.low, self.high, self.hash, self.context = (x[order] for x in (self.doc, self.low, self.high, self.hash, self.context))
+        columns = [x[kind == 1] for x in (self.doc, self.low, self.high, self.hash, self.context, self.left, self.right)]
+        columns = [np.concatenate(x) for x in zip(columns, hot)] if hot else columns
+        order = np.lexsort((self.ids[columns[0]], columns[4], columns[3]))
+        self.doc, self.low, self.high, self.hash, self.context, self.left, self.right = (x[order] for x in columns)
         new = np.append(True, (self.hash[1:] != self.hash[:-1]) | (self.context[1:] != self.context[:-1]))[: len(order)]
         #: The first entry of each (hash, context), of the smallest document here; the entry's number among them.
         self.first = np.flatnonzero(new)
@@ -234,17 +242,21 @@ def _judge_anchors(hot: int):
 
 
 def _judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p, groups, sizes, (h, c, d) in _by_part(batches, [U64, U64, np.int64]):
+    for p, groups, sizes, (h, c, d, left, right) in _by_part(batches, [U64, U64, np.int64, np.uint32, np.uint32]):
         order = np.lexsort((d, c, h))
         sh, sc, sd = h[order], c[order], d[order]
         new_h = np.append(True, sh[1:] != sh[:-1])
         new = new_h | np.append(True, sc[1:] != sc[:-1])
         first = np.flatnonzero(new)
         least = sd[first][np.cumsum(new) - 1]
-        anchor = np.cumsum(new_h) - 1
-        several = np.bincount(anchor[first]) > 1
+        anchor = (np.cumsum(new_h) - 1)[first].astype(U64) << U64(32)
+        like = np.zeros(len(first), bool)
+        for side in (left, right):
+            side = side[order][first]
+            _, back, n = np.unique(anchor | side.astype(U64), return_inverse=True, return_counts=True)
+            like |= (n[back] > 1) & (side > 0)
         verdict = np.empty(len(h), np.uint8)
-        verdict[order] = np.where(sd > least, 1, np.where(several[anchor], 2, 0))
+        verdict[order] = np.where(sd > least, 1, np.where(like[np.cumsum(new) - 1], 2, 0))
         yield from _reply(1, p, groups, sizes, verdict)
 
 
@@ -313,7 +325,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    size = scan_bytes(docs.select(key, text))
+    size = scan_bytes(docs)
     n, groups = parts(size, part_bytes), parts(size, group_bytes)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
@@ -329,7 +341,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def contexts(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         t = Texts(left, length)
         t.shared(_verdict(right, 0))
-        return _send(key[0].as_py(), t.hash[t.first], [t.context[t.first], t.ids[t.doc[t.first]].astype(np.int64)], n)
+        return _send(key[0].as_py(), t.hash[t.first], [t.context[t.first], t.ids[t.doc[t.first]].astype(np.int64), t.left[t.first], t.right[t.first]], n)
 
     def texts(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         t = Texts(left, length)
