@@ -34,7 +34,7 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     step = 1
     while step < SHINGLE:
-        h = mix(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:]) if step == 1 else h[:-step] * np.uint64(0xC2B2AE3D27D4EB4F) + h[step:]
+        h = h[:-step] * np.uint64((0x9E3779B97F4A7C15 * step | 1) % (1 << 64)) + h[step:]
         step *= 2
     h = mix(h)
     counts = size - SHINGLE + 1
@@ -52,7 +52,7 @@ def features(lines: list[str]) -> list[linking.Features]:
         return []
     h, starts = _shingles(lines)
     found = [np.unique(x) for x in np.split(h, starts[1:])]
-    return [(x, np.ones(len(x)), float(len(x))) for x in found]
+    return [(x, None, float(len(x))) for x in found]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -89,7 +89,9 @@ def _keys():
 
 def _exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col(text).cast("string")
-    some = docs.where(F.col(key).isNotNull() & t.isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n", -1)).alias("no", "line"))
+    some = docs.where(F.col(key).isNotNull() & t.isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(t).alias("th"), F.split(t, "\n", -1).alias("all"))
+    # Apart, or every line would carry its whole text along.
+    some = some.select("doc", "th", F.posexplode("all").alias("no", "line"))
     body = F.trim("line")
     return some.where("line <> ''").select("doc", "th", "no", "line", F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2"))
 
@@ -104,19 +106,23 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     bounded_batches(docs.sparkSession)
     names = [f"k{n}" for n in range(BANDS)]
     exploded = _exploded(docs, key, text)
-    marked = exploded.select("doc", "th", "no", "h1", "h2", _keys()("line").alias("keys")).where("keys is not null")
-    lines = written(marked.select("doc", "th", "no", "h1", "h2", "keys.*"), "lines")
+    marked = exploded.select("doc", "th", "no", "h1", "h2", _keys()("line").alias("keys"))
+    # A filter before writing would run the UDF twice.
+    lines = written(marked.select("doc", "th", "no", "h1", "h2", "keys.*"), "lines").where("k0 is not null")
     at = F.struct("doc", "th", "no")
     # The first place of a line: of most lines the only one.
     sums = [F.min(c).alias(c) for c in ("doc", "th", "no", *names)]
-    nodes = written(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *sums), "line-nodes")
+    nodes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *sums)
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     twice = linking.bounded(written(nodes.where("n > 1").select("h1", "h2"), "lines-repeated"))
     firsts = lines.join(twice, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(at).alias("first"))
-    nodes = nodes.join(linking.bounded(written(firsts, "lines-first")), ["h1", "h2"], "left").withColumn("first", F.coalesce("first", at)).drop("doc", "th", "no")
-    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "line-ids")
+    firsts = linking.bounded(written(firsts, "lines-first"))
+
+    def placed(some: DataFrame) -> DataFrame:
+        return some.join(firsts, ["h1", "h2"], "left").withColumn("first", F.coalesce("first", at))
 
     def texts(ids: DataFrame) -> DataFrame:
-        some = written(nodes.join(ids, "id").select("id", "h1", "h2", "first"), "line-candidates")
+        some = written(placed(nodes.join(ids, "id")).select("id", "h1", "h2", "first"), "line-candidates")
         places = linking.bounded(written(some.select("first.doc").distinct(), "line-documents"))
         near = _exploded(docs.join(places, F.col(key) == F.col("doc"), "left_semi"), key, text)
         found = near.join(linking.bounded(some), ["h1", "h2"]).where(F.col("first") == at)
@@ -124,7 +130,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     found = linking.classes(nodes.select("id", F.array(*names).alias("keys")), texts, features, least)
     grouped = nodes.drop(*names).join(linking.bounded(found), "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id"))
-    grouped = written(grouped, "line-groups")
+    grouped = written(placed(grouped).select("h1", "h2", "class", "first"), "line-groups")
     stays = grouped.groupBy("class").agg(F.min("first").alias("stays"))
     lookup = written(grouped.join(stays, "class").select("h1", "h2", "stays"), "line-lookup")
     out = lines.drop(*names).join(linking.bounded(lookup), ["h1", "h2"], "left")

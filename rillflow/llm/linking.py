@@ -23,10 +23,12 @@ from rillflow.llm.common import written
 #: Members compared with one copy of their head; texts of a block.
 SPLIT, BLOCK = 256, 128
 #: Tables of at most so many ids or keys (8 to 40 bytes each) are broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
+#: Forests of at most so many edges are merged in one task.
+FOREST_EDGES = 500_000
 
-#: Sorted distinct hashes, positive weights, sum of the weights.
-Features = tuple[np.ndarray, np.ndarray, float]
+#: Sorted distinct hashes, positive weights (None: all 1), sum of the weights.
+Features = tuple[np.ndarray, np.ndarray | None, float]
 
 
 def weighted_jaccard(a: Features, b: Features) -> float:
@@ -34,9 +36,11 @@ def weighted_jaccard(a: Features, b: Features) -> float:
     (ka, wa, ta), (kb, wb, tb) = a, b
     if not len(ka) or not len(kb):
         return 0.0
-    at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
-    both = kb[at] == ka
-    low = np.minimum(wa[both], wb[at[both]]).sum()
+    both = kb.take(kb.searchsorted(ka), mode="clip") == ka
+    if wa is None or wb is None:
+        low = np.count_nonzero(both)
+        return float(low / (ta + tb - low))
+    low = np.minimum(wa[both], wb[kb.searchsorted(ka[both])]).sum()
     return float(low / (ta + tb - low))
 
 
@@ -71,25 +75,31 @@ class _Union:
         return a != b
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    union = _Union()
-    for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            union.join(x, y)
-    nodes = list(union.up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([union.find(x) for x in nodes], pa.int64())], ["u", "v"])
+def _forest(*names: str):
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = _Union()
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                union.join(x, y)
+        roots = {x: union.find(x) for x in list(union.up)}
+        roots |= {r: r for r in set(roots.values())}
+        yield pa.RecordBatch.from_arrays([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], list(names))
+
+    return grow
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, class) of every id in `links` (two bigint columns): the class is the smallest id of its component.
 
-    Each partition first contracts its links to a forest by union-find. Then two steps alternate until
-    nothing changes: every id hands its larger neighbours, and then its smaller ones, to the smallest.
+    Each partition first contracts its links to a forest by union-find. Forests within a bound are merged
+    by one more task. Beyond it two steps alternate until nothing changes: every id hands its larger neighbours, and then its smaller ones, to the smallest.
     Minima are pre-aggregated, so that an id of many links costs no task more than its share.
     """
     a, b = links.columns
     both = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    edges = written(both.mapInArrow(_forest, "u bigint, v bigint").where("u <> v").distinct(), "edges")
+    edges = written(both.mapInArrow(_forest("u", "v"), "u bigint, v bigint").where("u <> v").distinct(), "edges")
+    if edges.count() <= FOREST_EDGES:
+        return edges.coalesce(1).mapInArrow(_forest("id", "class"), "id bigint, class bigint")
     state = None
     while True:
         around = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -166,10 +176,10 @@ def classes(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], features:
     table of ids to (id, text). `features`: from texts to their weighted features; `least`: similarity.
     """
     bands = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
-    # Keys of equal members (equal counts, extremes and 128 bits of hashes) say the same: one of them is enough.
-    sums = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")]
-    shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), *sums).where("n > 1")
-    shared = written(shared.groupBy("lo", "hi", "n", "x", "y").agg(F.min("key").alias("key")), "bands")
+    # Keys of equal members (equal counts, extremes and hashes) say the same: one of them is enough.
+    sums = [F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x")]
+    shared = bands.groupBy("key").agg(*sums).where("n > 1")
+    shared = written(shared.groupBy("lo", "hi", "n", "x").agg(F.min("key").alias("key")), "bands")
     large = bounded(shared.where("n > 2").select("key", F.col("lo").alias("head"), "n"))
     grouped = written(bands.join(large, "key"), "grouped")
     pairs = shared.where("n = 2").select(F.col("lo").alias("head"), F.col("hi").alias("id")).unionAll(grouped.where("id <> head").select("head", "id"))

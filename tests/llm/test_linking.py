@@ -20,8 +20,10 @@ def closure(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+@pytest.mark.parametrize("bound", [0, linking.FOREST_EDGES])
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, bound):
+    monkeypatch.setattr(linking, "FOREST_EDGES", bound)
     rng = random.Random(shape)
     links = {"chain": [(i, i + 1) for i in range(60)], "star": [(500, i) for i in range(80)], "random": [(rng.randrange(90), rng.randrange(90)) for _ in range(60)], "none": []}[shape]
     df = spark.createDataFrame(links, "a long, b long").repartition(5)
