@@ -23,9 +23,9 @@ from rillflow.llm.common import bounded_batches, parts, scan_bytes, written
 
 #: The books are fitted on at most so many vectors, those with the smallest hashes of their ids.
 FIT_ROWS = 16_384
-BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 8, 3
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 1
 #: Bytes of vectors of a shard, distinct vectors of it that are measured exactly for a query.
-SHARD_BYTES, RERANK = 32 << 20, 512
+SHARD_BYTES, RERANK = 16 << 20, 1024
 #: Queries broadcast at a time, and scored at a time.
 QUERY_BLOCK, SCORE_BLOCK = 100_000, 128
 

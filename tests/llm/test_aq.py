@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from rillflow.llm import aq, queries
 
@@ -33,8 +34,12 @@ def test_few_and_none(spark):
     assert aq.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_recall_and_scores(spark):
-    got = queries.op3_nearest(spark, f"{DATA}/sf0.1").toPandas()
+@pytest.mark.parametrize("rerank", [None, 60])
+def test_recall_and_scores(spark, rerank):
+    """Also where, as in large shards, three in a hundred vectors are measured exactly."""
+    every = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    found = queries.op3_nearest(spark, f"{DATA}/sf0.1") if rerank is None else aq.nearest(every, every.where("vec_id % 20 = 0"), rerank=rerank)
+    got = found.toPandas()
     rows = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").toPandas()
     v = np.stack(rows.embedding).astype(np.float64)
     ids = rows.vec_id.to_numpy()
