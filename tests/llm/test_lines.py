@@ -1,3 +1,5 @@
+import random
+
 from rillflow.llm import lines
 
 from .test_linking import closure
@@ -53,3 +55,13 @@ def test_equal_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a line that is here twice"), (1, "a line that is here twice"), (1, "something else that is different"), (2, "a line that is here twice")], "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in lines.deduplicated(df).collect())
     assert got == [(1, "a line that is here twice")] * 2 + [(1, "something else that is different"), (2, "")]
+
+
+def test_few_pairs_at_the_threshold_share_no_band():
+    rng, tail, pairs = random.Random(4), 20, 3000
+    one = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    # 8 shared shingles for each one of a tail: a similarity of 0.8.
+    starts = [one(8 * tail + lines.SHINGLE - 1) for _ in range(pairs)]
+    a, b = (lines.signatures([x + one(tail) for x in starts]) for _ in range(2))
+    missed = int((~(a == b).any(1)).sum())
+    assert missed <= 0.002 * pairs, missed
