@@ -286,6 +286,8 @@ class Pipeline:
 
     def run(self, mode: str = "batch", checkpoint: str | None = None, poll: str = "5s"):
         """`batch` reads all sources to their end. `available_now` and `continuous` stream one source; the latter returns the query."""
+        for s in self.spec.sinks.values():
+            s.options.pop("_seen", None)
         if mode == "batch":
             self._write({n: self.session.own(connect.open_source(self.session.spark, s, False, self.plugins.sources)) for n, s in self.spec.sources.items()}, (self.state.get("epoch") or 0) + 1)
             self.state.put("epoch", (self.state.get("epoch") or 0) + 1)

@@ -45,14 +45,20 @@ class Blackhole(Sink):
 
 
 class Print(Sink):
-    """Rows as JSON behind their change kind; `sample_every`, `num_records`."""
+    """Rows as JSON behind their change kind; one in `sample_every`, of the first `num_records_before_stop` of the run (unset: all)."""
 
     def write(self, batch, epoch):
-        every, most = int(self.options.get("sample_every", 1)), int(self.options.get("num_records", 1000))
+        # A sink is opened for each batch; Pipeline.run drops the count.
+        seen = self.options.get("_seen", 0)
+        every, most = int(self.options.get("sample_every", 1)), self.options.get("num_records_before_stop")
         rows = batch.select(F.col(OP), F.to_json(F.struct(*[c for c in batch.columns if c != OP]), {"ignoreNullFields": "false"}).alias("row"))
-        for n, r in enumerate(rows.limit(most * every).toLocalIterator()):
-            if n % every == 0:
+        if most is not None:
+            rows = rows.limit(max(0, int(most) - seen))
+        for r in rows.toLocalIterator():
+            if seen % every == 0:
                 print(f"{LABELS.get(r[OP], 'INSERT')} {r.row}")
+            seen += 1
+        self.options["_seen"] = seen
 
 
 class Memory(Sink):

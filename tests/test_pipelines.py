@@ -237,3 +237,17 @@ def test_state_and_retries(tmp_path):
     with pytest.raises(OSError):
         retried(lambda: (_ for _ in ()).throw(OSError("no")), attempts=2, sleep=waits.append)
     assert spec.seconds("500ms") == 0.5 and spec.seconds("2m") == 120
+
+
+def test_print_sink_prints_all_rows_unless_told(spark, capsys):
+    rows = spark.range(1500).selectExpr("cast(id AS int) AS id", f"'i' AS {OP}")
+
+    def printed(**options):
+        p = Pipeline(spark, BASE | {"sinks": {"k": {"type": "print", "from": "s"} | options}})
+        for epoch in range(2):
+            p._write({"s": rows}, epoch)
+        return len(capsys.readouterr().out.splitlines())
+
+    assert printed() == 3000
+    assert printed(num_records_before_stop=1600) == 1600
+    assert printed(num_records_before_stop=1600, sample_every=10) == 160
