@@ -3,8 +3,9 @@
 Documents are encoded whole, closed by an end id and cut only where they exceed a sequence. Pieces are
 dealt to shards of bounded size, each packed on its own: best fit by decreasing length, then a local
 search over underfull bins. It takes the emptiest bin and hands its documents to other bins by moves,
-exchanges of one for one, and of one for two or two for one, each raising the sum of squared fills,
-until the bin is empty or nothing helps. A shard wastes less than one sequence by its bounds.
+exchanges of one or two for one or two, each raising the sum of squared fills, until the bin is empty
+or nothing helps; then the next, until each was tried or no fewer bins can do. A shard wastes less than
+one sequence by its bounds.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ CAPACITY = 2048
 SHARD_BYTES = 64 << 20
 #: Chunks of text whose ids a worker keeps.
 HELD = 500_000
-#: Entries of a bin that the search looks at, and bins in a row that it fails to empty before it stops.
-LOOKS, FAILS = 16, 256
 
 _CORE = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -162,40 +161,44 @@ class Search:
         self.whole = [b for b in bins if sum(lengths[i] for i in b) == capacity]
         self.bins = [b for b in bins if sum(lengths[i] for i in b) < capacity]
         self.fill = np.array([sum(lengths[i] for i in b) for b in self.bins], np.int64)
-        self.size = np.full((len(self.bins), LOOKS), -1, np.int64)
-        self.held: list[list[tuple[int, ...]]] = [[] for _ in self.bins]
-        for b in range(len(self.bins)):
-            self._look(b)
+        self.next: np.ndarray | None = None
         self.least = -(-sum(lengths) // capacity)
 
+    def _sums(self, b: int) -> dict[int, tuple[int, ...]]:
+        """All sums of one or two documents of bin `b`, the ones first, by decreasing length, each with one way to it."""
+        by: dict[int, list[int]] = {}
+        for i in sorted(self.bins[b], key=lambda i: -self.lengths[i]):
+            by.setdefault(self.lengths[i], []).append(i)
+        out = {n: (x[0],) for n, x in by.items()}
+        for n, m in itertools.combinations_with_replacement(by, 2):
+            if n != m:
+                out.setdefault(n + m, (by[n][0], by[m][0]))
+            elif len(by[n]) > 1:
+                out.setdefault(2 * n, (by[n][0], by[n][1]))
+        return out
+
     def _look(self, b: int) -> None:
-        """Lists what bin `b` can give: nothing (a move), one document, or two."""
-        own = sorted(self.bins[b], key=lambda i: self.lengths[i])
-        seen: dict[int, tuple[int, ...]] = {0: ()}
-        for x in itertools.chain(((i,) for i in own), itertools.combinations(own[:6], 2)):
-            seen.setdefault(sum(self.lengths[i] for i in x), x)
-            if len(seen) == LOOKS:
-                break
-        self.held[b] = list(seen.values())
-        self.size[b] = -1
-        self.size[b, : len(seen)] = list(seen)
+        """Notes for each sum the smallest one at or above it that bin `b` can give: nothing (a move), one document, or two."""
+        row = self.next[b]
+        row[:] = self.capacity + 1
+        given = np.array([0, *self._sums(b)])
+        row[given] = given
+        row[:] = np.minimum.accumulate(row[::-1])[::-1]
 
     def _give(self, a: int, given: tuple[int, ...]) -> bool:
         """Hands `given` of bin `a` to the bin that takes them for the least in exchange."""
         n = sum(self.lengths[i] for i in given)
-        free = self.capacity - self.fill
-        ok = (self.size >= 0) & (self.size < n) & (self.size + free[:, None] >= n)
+        back = self.next[np.arange(len(self.bins)), np.maximum(0, n - (self.capacity - self.fill))].astype(np.int64)
+        ok = (back < n) & (self.fill + n - back > self.fill[a]) & (self.fill > 0)
         ok[a] = False
-        ok &= ((self.fill[:, None] + n - self.size) > self.fill[a]) & (self.fill[:, None] > 0)
         if not ok.any():
             return False
         # The most that moves over; of equals, the bin that gets fullest.
-        worth = np.where(ok, (n - self.size) * (self.capacity + 1) + self.fill[:, None], -1)
-        b, slot = divmod(int(worth.argmax()), LOOKS)
-        taken = self.held[b][slot]
+        b = int(np.where(ok, (n - back) * (self.capacity + 1) + self.fill, -1).argmax())
+        taken = self._sums(b)[int(back[b])] if back[b] else ()
         self.bins[a] = [i for i in self.bins[a] if i not in given] + list(taken)
         self.bins[b] = [i for i in self.bins[b] if i not in taken] + list(given)
-        moved = n - sum(self.lengths[i] for i in taken)
+        moved = n - int(back[b])
         self.fill[a] -= moved
         self.fill[b] += moved
         self._look(a)
@@ -204,20 +207,20 @@ class Search:
 
     def _empty(self, a: int) -> bool:
         while self.bins[a]:
-            own = sorted(self.bins[a], key=lambda i: -self.lengths[i])
-            ones = [(i,) for i in own]
-            twos = list(itertools.islice(itertools.combinations(own, 2), LOOKS))
-            if not any(self._give(a, x) for x in ones + twos):
+            if not any(self._give(a, x) for x in self._sums(a).values()):
                 return False
         return True
 
     def run(self) -> list[list[int]]:
-        left, fails = set(range(len(self.bins))), 0
-        while left and fails < FAILS and len(self.whole) + int((self.fill > 0).sum()) > self.least:
-            a = min(left, key=lambda b: self.fill[b])
-            left.discard(a)
-            if self.fill[a] and not self._empty(a):
-                fails += 1
+        left = np.ones(len(self.bins), bool)
+        while left.any() and len(self.whole) + int((self.fill > 0).sum()) > self.least:
+            if self.next is None:
+                self.next = np.empty((len(self.bins), self.capacity + 1), np.uint16 if self.capacity < 65535 else np.int64)
+                for b in range(len(self.bins)):
+                    self._look(b)
+            a = int(np.where(left, self.fill, self.capacity + 1).argmin())
+            left[a] = False
+            self._empty(a)
         return self.whole + [b for b in self.bins if b]
 
 

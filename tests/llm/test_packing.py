@@ -72,3 +72,19 @@ def test_search_empties_bins_that_best_fit_leaves():
 def test_query_needs_few_sequences(spark):
     got = queries.op4_packing(spark, f"{DATA}/sf0.01").toPandas()
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) * 1.01 + 1
+
+
+def test_search_gives_any_two_of_a_bin_of_many_lengths():
+    lengths = [36, 2, 22, 45, 20, 11, 29, 16, 29, 57, 55, 42, 60, 39, 22, 48, 32, 2, 36, 37, 33, 38, 33, 18, 13, 43, 50, 43, 19, 45, 31, 48, 26, 33, 34, 14, 27, 9]
+    bins = packing.Search(lengths, [list(range(18)), list(range(18, 36)), [36, 37]], 600).run()
+    whole(bins, lengths, 600)
+    assert len(bins) == 2
+
+
+def test_search_tries_every_bin():
+    lengths, tried = [501] * 300, []
+    search = packing.Search(lengths, [[i] for i in range(300)], 1000)
+    empty = search._empty
+    search._empty = lambda a: tried.append(a) or empty(a)
+    whole(search.run(), lengths, 1000)
+    assert sorted(tried) == list(range(300))
