@@ -1,6 +1,6 @@
 import random
 
-from rillflow.llm import lines
+from rillflow.llm import linking, lines
 
 from .test_linking import closure
 
@@ -65,3 +65,13 @@ def test_few_pairs_at_the_threshold_share_no_band():
     a, b = (lines.signatures([x + one(tail) for x in starts]) for _ in range(2))
     missed = int((~(a == b).any(1)).sum())
     assert missed <= 0.002 * pairs, missed
+
+
+def test_one_changed_character_of_40_to_60(spark):
+    texts = ["order 48213 was shipped from berlin on monday", "the quick brown fox jumps over a lazy dog by night, twice"]
+    texts = [x[:40] for x in texts] + texts
+    pairs = [(x, x[: len(x) // 2] + "7" + x[len(x) // 2 + 1 :]) for x in texts]
+    for a, b in map(lines.features, pairs):
+        assert linking.similar(a, b, lines.LEAST)
+    df = spark.createDataFrame([(1, pairs[-1][0]), (2, pairs[-1][1])], "doc_id long, text string")
+    assert [r.kept for r in lines.line_classes(df).orderBy("doc").collect()] == [True, False]
