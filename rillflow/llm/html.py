@@ -10,6 +10,7 @@ score nearly as much. All text of what is kept is returned.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -52,6 +53,8 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 PRIOR, KEEP_SHARE, KEEP_LEAST = 25.0, 0.2, 10.0
+#: A paragraph gives points to so many ancestors.
+LEVELS = 12
 
 
 class Page:
@@ -59,6 +62,8 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.prior, self.out = ["#"], [-1], [0.0], [False]
+        #: By node: the nearest block at or above it, and whether a link lies between.
+        self.block, self.link = [0], [False]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) for a border
         self._parse(html)
 
@@ -79,12 +84,15 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         self.out.append(out)
+        self.block.append(len(self.tag) - 1 if tag in BLOCK else self.block[parent])
+        self.link.append(tag not in BLOCK and (tag == "a" or self.link[parent]))
         self.prior.append(2 * PRIOR if tag in ("article", "main") or role in ("main", "article") else PRIOR if names & LIKELY else 0.0)
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
         stack, at, events = [0], 0, self.events
-        lower = None
+        # Where in the stack elements of a tag, and blocks (tag ""), are open.
+        places: dict[str, list[int]] = {}
         scan = _TOKEN.search
         while m := scan(html, at):
             if m.start() > at:
@@ -96,43 +104,47 @@ class Page:
             tag = tag.lower()
             if not m[1]:
                 if tag in ENDS_P:
-                    self._close(stack, frozenset(["p"]), frozenset(["table", "td", "button", "object"]))
+                    self._close(stack, places, ("p",), ("table", "td", "button", "object"))
                 if tag in CLOSES:
-                    self._close(stack, *CLOSES[tag])
+                    self._close(stack, places, *CLOSES[tag])
                 node = self._open(tag, m[3], stack[-1])
                 if tag in BLOCK:
                     events.append((node, None))
                 elif tag == "br":
                     events.append((stack[-1], " "))
                 if tag in RAW:
-                    lower = lower if lower is not None else html.lower()
-                    end = lower.find("</" + tag, at)
-                    at = len(html) if end < 0 else end
+                    end = re.compile("</" + tag, re.I | re.A).search(html, at)
+                    at = end.start() if end else len(html)
+                if tag in RAW or tag not in VOID:
+                    places.setdefault(tag, []).append(len(stack))
+                    if tag in BLOCK:
+                        places.setdefault("", []).append(len(stack))
                     stack.append(node)
-                elif tag not in VOID:
-                    stack.append(node)
-            else:
-                for depth in range(len(stack) - 1, 0, -1):
-                    here = self.tag[stack[depth]]
-                    if here == tag:
-                        if any(self.tag[n] in BLOCK for n in stack[depth:]):
-                            events.append((stack[depth], None))
-                        del stack[depth:]
-                        break
-                    if tag in INLINE_FORMAT and here in BLOCK:
-                        break
+            elif places.get(tag):
+                depth = places[tag][-1]
+                blocks = places.get("")
+                inner = bool(blocks) and blocks[-1] >= depth
+                if not (tag in INLINE_FORMAT and inner):
+                    if inner:
+                        events.append((stack[depth], None))
+                    self._cut(stack, places, depth)
         if at < len(html):
             self._text(stack[-1], html[at:])
 
-    def _close(self, stack: list[int], tags: frozenset, within: frozenset) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            here = self.tag[stack[depth]]
-            if here in tags:
-                self.events.append((stack[depth], None))
-                del stack[depth:]
-                return
-            if here in within:
-                return
+    def _cut(self, stack: list[int], places: dict[str, list[int]], depth: int) -> None:
+        while len(stack) > depth:
+            tag = self.tag[stack.pop()]
+            places[tag].pop()
+            if tag in BLOCK:
+                places[""].pop()
+
+    def _close(self, stack: list[int], places: dict[str, list[int]], tags: Iterable[str], within: Iterable[str]) -> None:
+        """Ends the innermost open element of `tags`, unless one of `within` lies inside of it."""
+        deepest = lambda some: max((p[-1] for t in some if (p := places.get(t))), default=0)
+        depth = deepest(tags)
+        if depth and depth >= deepest(within):
+            self.events.append((stack[depth], None))
+            self._cut(stack, places, depth)
 
     def _text(self, node: int, text: str) -> None:
         if not self.out[node]:
@@ -157,21 +169,15 @@ class Page:
         # Text of each paragraph (nearest block above a piece), and how much of it is in links.
         texts: dict[int, list[str]] = {}
         linked: dict[int, int] = {}
-        owner: dict[int, tuple[int, bool]] = {}
         for node, piece in self.events:
             if piece is None or piece.isspace() or self.out[node]:
                 continue
-            if node not in owner:
-                block, link = node, False
-                while block > 0 and tag[block] not in BLOCK:
-                    link = link or tag[block] == "a"
-                    block = parent[block]
-                owner[node] = (block, link)
-            block, link = owner[node]
+            block, link = self.block[node], self.link[node]
             texts.setdefault(block, []).append(piece)
             if link:
                 linked[block] = linked.get(block, 0) + len(piece.strip())
         points, size, links = [0.0] * n, [0] * n, [0] * n
+        own: dict[int, tuple[int, int]] = {}
         for block, pieces in texts.items():
             t = "".join(pieces).strip()
             length, link = len(t), linked.get(block, 0)
@@ -182,12 +188,22 @@ class Page:
                 node = parent[block]
                 size[block] += length
                 links[block] += link
-            while node >= 0:
+                own[block] = (length, link)
+            size[node] += length
+            links[node] += link
+            while node >= 0 and level < LEVELS:
                 points[node] += gain if level == 0 else gain / 2 if level == 1 else gain / (3 * level)
-                size[node] += length
-                links[node] += link
                 level += 1
                 node = parent[node]
+        # A paragraph that isn't a container holds its text already: only what lies in others goes up.
+        up, up_links = size[:], links[:]
+        for block in own:
+            up[block], up_links[block] = up[block] - own[block][0], up_links[block] - own[block][1]
+        for k in range(n - 1, 0, -1):
+            if up[k]:
+                for x, y in ((size, up), (links, up_links)):
+                    x[parent[k]] += y[k]
+                    y[parent[k]] += y[k]
         final = [0.0] * n
         for k in range(n):
             if points[k] > 0 and not self.out[k]:

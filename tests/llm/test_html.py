@@ -1,5 +1,6 @@
 import html as escape
 import re
+import time
 
 import pytest
 
@@ -52,3 +53,14 @@ def test_query_on_pages_with_articles(spark):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         blocks = (" ".join(escape.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article))
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("piece", ["<div>some text, here", "<span>some text, here", "<p>x<b>y</div></i>", "<table><div>x, y", "<li><p>x"])
+def test_deep_and_unclosed_markup_takes_time_in_proportion(piece):
+    began = time.process_time()
+    found = html.main_text(piece * 4000)
+    assert time.process_time() - began < 1 and found
+
+
+def test_letters_whose_lower_case_is_longer():
+    assert html.main_text("<article><p>İİİİ one</p><script>İ</script><p>two</p></article>") == "İİİİ one\ntwo"
