@@ -1,22 +1,23 @@
 """Packing of tokenised documents into sequences: best fit, then swap-based local search.
 
 Documents are encoded whole, closed by an end id and cut only where they exceed a sequence. Pieces are
-dealt to shards of bounded size, each packed on its own: best fit by decreasing length, then a local
+dealt to shards of bounded size, each packed on its own: best fit in order of arrival, then a local
 search over underfull bins. It takes the emptiest bin and hands its documents to other bins by moves,
 exchanges of one or two for one or two, each raising the sum of squared fills, until the bin is empty
-or nothing helps; then the next, until each was tried or no fewer bins can do. A shard wastes less than
-one sequence by its bounds.
+or nothing helps; then the next, for as long as anything helps and fewer bins may do. Small documents
+come last and fill the gaps. A shard wastes less than one sequence by its bounds.
 """
 
 from __future__ import annotations
 
 import array
+import heapq
 import itertools
 import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from rillflow.llm.common import bounded_batches, fresh, parts, scan_bytes
 CAPACITY = 2048
 #: Bytes of documents of a shard.
 SHARD_BYTES = 64 << 20
+#: Documents below this share of a sequence are held back until bins of the others are emptied.
+SMALL = 1 / 16
 #: Chunks of text whose ids a worker keeps.
 HELD = 500_000
 
@@ -129,12 +132,17 @@ def _cut(spec, capacity: int, end: int, ids: bool):
     return F.arrow_udf(cut, f"array<struct<{_DDL}{',ids:array<int>' if ids else ''}>>")
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins (lists of positions), filled by decreasing length, each into the fullest bin that it fits."""
-    bins: list[list[int]] = []
+def best_fit(lengths: list[int], capacity: int, order: Iterable[int] | None = None, bins: list[list[int]] | None = None) -> list[list[int]]:
+    """Bins (lists of positions): documents in `order` (that of arrival), each into the fullest bin that it fits; `bins` are filled first."""
+    bins = [list(b) for b in bins or ()]
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
     some = 0  # bit f is set if a bin has f free
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+    for b, held in enumerate(bins):
+        free = capacity - sum(lengths[i] for i in held)
+        if free:
+            by_free[free].append(b)
+            some |= 1 << free
+    for i in range(len(lengths)) if order is None else order:
         n = lengths[i]
         fits = some >> n
         if fits:
@@ -154,79 +162,166 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class Search:
-    """Local search over the bins of a shard; `lengths` by position, bins as lists of positions."""
+    """Local search over the bins of a shard; `lengths` by position, bins as lists of positions.
+
+    Every bin offers what it can give in exchange: nothing (a move), one document or two, by the sum of
+    their lengths. For each sum there is a set of the amounts of free space of the bins that offer it,
+    so the best taker of a document is found without a look at every bin.
+    """
 
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
         self.lengths, self.capacity = lengths, capacity
         self.whole = [b for b in bins if sum(lengths[i] for i in b) == capacity]
         self.bins = [b for b in bins if sum(lengths[i] for i in b) < capacity]
-        self.fill = np.array([sum(lengths[i] for i in b) for b in self.bins], np.int64)
-        self.next: np.ndarray | None = None
-        self.least = -(-sum(lengths) // capacity)
-
-    def _sums(self, b: int) -> dict[int, tuple[int, ...]]:
-        """All sums of one or two documents of bin `b`, the ones first, by decreasing length, each with one way to it."""
-        by: dict[int, list[int]] = {}
-        for i in sorted(self.bins[b], key=lambda i: -self.lengths[i]):
-            by.setdefault(self.lengths[i], []).append(i)
-        out = {n: (x[0],) for n, x in by.items()}
-        for n, m in itertools.combinations_with_replacement(by, 2):
-            if n != m:
-                out.setdefault(n + m, (by[n][0], by[m][0]))
-            elif len(by[n]) > 1:
-                out.setdefault(2 * n, (by[n][0], by[n][1]))
-        return out
-
-    def _look(self, b: int) -> None:
-        """Notes for each sum the smallest one at or above it that bin `b` can give: nothing (a move), one document, or two."""
-        row = self.next[b]
-        row[:] = self.capacity + 1
-        given = np.array([0, *self._sums(b)])
-        row[given] = given
-        row[:] = np.minimum.accumulate(row[::-1])[::-1]
+        self.fill = [sum(lengths[i] for i in b) for b in self.bins]
+        self.least = -(-sum(lengths[i] for b in bins for i in b) // capacity)
+        self.emptied = 0
+        #: By sum: bit f says that a bin with f free may offer it; by sum and free space, those bins (some have changed since).
+        self.frees = [0] * (capacity + 1)
+        self.offers: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        #: The longest document that a bin offering the sum may take for it.
+        self.reach = np.full(capacity + 1, -1, np.int64)
+        self.version = [0] * len(self.bins)
+
+    def _sums(self, b: int) -> Iterable[int]:
+        """What bin `b` can give: 0, and all sums of one or two of its documents."""
+        own = [self.lengths[i] for i in self.bins[b]]
+        if len(own) <= 12:
+            return {0, *own, *(n + m for n, m in itertools.combinations(own, 2))}
+        x = np.array(own)
+        pairs = x[:, None] + x
+        return np.unique(np.concatenate([[0], x, pairs[np.triu_indices(len(x), 1)]])).tolist()
+
+    def _way(self, b: int, total: int) -> tuple[int, ...]:
+        """Documents of bin `b` that make up an offered sum."""
+        by: dict[int, int] = {}
+        for i in self.bins[b] if total else ():
+            n = self.lengths[i]
+            if n == total:
+                return (i,)
+            if total - n in by:
+                return (by[total - n], i)
+            by[n] = i
+        return ()
+
+    def _offer(self, b: int) -> None:
+        self.version[b] += 1
+        free = self.capacity - self.fill[b]
+        if not free or not self.bins[b]:
+            return
+        entry, bit, frees, offers = (b, self.version[b]), 1 << free, self.frees, self.offers
+        for n in self._sums(b):
+            offers.setdefault((n, free), []).append(entry)
+            frees[n] |= bit
+            if self.reach[n] < n + free:
+                self.reach[n] = n + free
+
+    def _taker(self, n: int, fill: int) -> tuple[int, int] | None:
+        """(bin, sum) of the bin that takes a document of length `n` for the least in exchange, so that the sum of squares rises."""
+        start = 0
+        while start < n:
+            back = start + int((self.reach[start:n] >= n).argmax())
+            if self.reach[back] < n:
+                return None
+            moved = n - back
+            fits = self.frees[back] >> moved
+            while fits:
+                # The fullest bins first.
+                free = moved + (fits & -fits).bit_length() - 1
+                held = self.offers[back, free]
+                while held and self.version[held[-1][0]] != held[-1][1]:
+                    held.pop()
+                if not held:
+                    self.frees[back] ^= 1 << free
+                elif self.capacity - free + moved > fill:
+                    return held[-1][0], back
+                else:
+                    break  # the others are emptier still
+                fits = self.frees[back] >> moved
+            self.reach[back] = back + self.frees[back].bit_length() - 1 if self.frees[back] else -1
+            start = back + 1
+        return None
 
     def _give(self, a: int, given: tuple[int, ...]) -> bool:
         """Hands `given` of bin `a` to the bin that takes them for the least in exchange."""
         n = sum(self.lengths[i] for i in given)
-        back = self.next[np.arange(len(self.bins)), np.maximum(0, n - (self.capacity - self.fill))].astype(np.int64)
-        ok = (back < n) & (self.fill + n - back > self.fill[a]) & (self.fill > 0)
-        ok[a] = False
-        if not ok.any():
+        found = self._taker(n, self.fill[a])
+        if not found:
             return False
-        # The most that moves over; of equals, the bin that gets fullest.
-        b = int(np.where(ok, (n - back) * (self.capacity + 1) + self.fill, -1).argmax())
-        taken = self._sums(b)[int(back[b])] if back[b] else ()
+        b, back = found
+        taken = self._way(b, back)
         self.bins[a] = [i for i in self.bins[a] if i not in given] + list(taken)
         self.bins[b] = [i for i in self.bins[b] if i not in taken] + list(given)
-        moved = n - int(back[b])
-        self.fill[a] -= moved
-        self.fill[b] += moved
-        self._look(a)
-        self._look(b)
+        self.fill[a] -= n - back
+        self.fill[b] += n - back
+        self._offer(b)
         return True
 
+    def _given(self, a: int) -> Iterator[tuple[int, ...]]:
+        """One document of each length, then two of each pair of lengths, the longest first."""
+        by: dict[int, list[int]] = {}
+        for i in sorted(self.bins[a], key=lambda i: -self.lengths[i]):
+            by.setdefault(self.lengths[i], []).append(i)
+        yield from ((x[0],) for x in by.values())
+        for n, m in itertools.combinations_with_replacement(by, 2):
+            if n != m:
+                yield by[n][0], by[m][0]
+            elif len(by[n]) > 1:
+                yield by[n][0], by[n][1]
+
     def _empty(self, a: int) -> bool:
-        while self.bins[a]:
-            if not any(self._give(a, x) for x in self._sums(a).values()):
-                return False
-        return True
+        """Hands over what it can of bin `a`; whether anything was."""
+        self.version[a] += 1  # it takes nothing itself meanwhile
+        some = False
+        while self.bins[a] and any(self._give(a, x) for x in self._given(a)):
+            some = True
+        self.emptied += not self.bins[a]
+        self._offer(a)
+        return some
 
     def run(self) -> list[list[int]]:
-        left = np.ones(len(self.bins), bool)
-        while left.any() and len(self.whole) + int((self.fill > 0).sum()) > self.least:
-            if self.next is None:
-                self.next = np.empty((len(self.bins), self.capacity + 1), np.uint16 if self.capacity < 65535 else np.int64)
-                for b in range(len(self.bins)):
-                    self._look(b)
-            a = int(np.where(left, self.fill, self.capacity + 1).argmin())
-            left[a] = False
-            self._empty(a)
+        for b in range(len(self.bins)):
+            if len(self.whole) + len(self.bins) > self.least:
+                self._offer(b)
+        again = True
+        while again:
+            again = False
+            # The emptiest first, as they stand when their turn comes.
+            heap = [(f, a) for a, f in enumerate(self.fill) if self.bins[a] and f < self.capacity]
+            heapq.heapify(heap)
+            tried: set[int] = set()
+            while heap and len(self.whole) + len(self.bins) - self.emptied > self.least:
+                f, a = heapq.heappop(heap)
+                if a in tried or not self.bins[a] or self.fill[a] == self.capacity:
+                    continue
+                if f != self.fill[a]:
+                    heapq.heappush(heap, (self.fill[a], a))
+                    continue
+                tried.add(a)
+                again = self._empty(a) or again
+            again = again and len(self.whole) + len(self.bins) - self.emptied > self.least
         return self.whole + [b for b in self.bins if b]
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of positions of `lengths` (each from 1 to `capacity`)."""
-    return Search(lengths, best_fit(lengths, capacity), capacity).run() if lengths else []
+    """Bins of positions of `lengths` (each from 1 to `capacity`).
+
+    Documents from a share `SMALL` of a sequence on go in by best fit in order of arrival, and the search
+    empties bins of them; the smaller ones then fill the gaps, by decreasing length, and the search goes
+    on. Where that takes more than the least number that the total allows, the search also starts from
+    best fit of all documents, by arrival and by decreasing length, and the smallest result counts.
+    """
+    if not lengths:
+        return []
+    long = [i for i, n in enumerate(lengths) if n >= SMALL * capacity]
+    small = sorted((i for i, n in enumerate(lengths) if n < SMALL * capacity), key=lambda i: -lengths[i])
+    bins = Search(lengths, best_fit(lengths, capacity, long), capacity).run()
+    search = Search(lengths, best_fit(lengths, capacity, small, bins), capacity)
+    found = [search.run()]
+    if len(found[0]) > search.least:
+        for order in (None, sorted(range(len(lengths)), key=lambda i: -lengths[i])):
+            found.append(Search(lengths, best_fit(lengths, capacity, order), capacity).run())
+    return min(found, key=len)
 
 
 def _place(capacity: int):

@@ -88,3 +88,21 @@ def test_search_tries_every_bin():
     search._empty = lambda a: tried.append(a) or empty(a)
     whole(search.run(), lengths, 1000)
     assert sorted(tried) == list(range(300))
+
+
+def test_search_empties_bins_of_real_documents():
+    """Best fit in order of arrival needs more bins than the total allows; the search gets there."""
+    import duckdb
+
+    encode = packing.Encoder(open(PATH, encoding="utf-8").read())
+    lengths = []
+    for (t,) in duckdb.sql(f"SELECT text FROM '{DATA}/sf0.01/documents.parquet' ORDER BY doc_id").fetchall():
+        n = len(encode(t or "")) // 4 + 1
+        lengths += [packing.CAPACITY] * (n // packing.CAPACITY) + [n % packing.CAPACITY] * (n % packing.CAPACITY > 0)
+    long = [i for i, n in enumerate(lengths) if n >= packing.SMALL * packing.CAPACITY]
+    search = packing.Search(lengths, packing.best_fit(lengths, packing.CAPACITY, long), packing.CAPACITY)
+    search.run()
+    assert search.emptied > 0
+    bins = packing.pack(lengths)
+    whole(bins, lengths, packing.CAPACITY)
+    assert len(bins) == -(-sum(lengths) // packing.CAPACITY)
