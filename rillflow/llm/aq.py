@@ -3,13 +3,15 @@
 A vector is coded as a sum of one full-dimensional codeword from each of `BOOKS` codebooks. The books
 start as k-means of residuals and are refined by least squares over codes that a beam search picks with
 all inner products between codewords at hand. Scoring looks a query's inner products with codewords up
-and adds them (for `l2`, the stored norm of the decoded vector too); the best `RERANK` distinct vectors
-of a shard are then measured exactly. Each shard holds its vectors beside their codes, so that exact
-measuring needs no join, and sends `k` rows a query on.
+and adds them (for `l2`, the stored norm of the decoded vector too; an inner product needs none); the
+best share of a shard's distinct vectors is then measured exactly. Each shard holds its vectors beside
+their codes, one byte a book, so that exact measuring needs no join. A task merges what its shards find
+and sends `k` rows a query on. Vectors of different lengths are different spaces, each with its books.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rillflow.llm.common import bounded_batches, parts, scan_bytes, written
+from rillflow.llm.common import bounded_batches, parts, ragged, scan_bytes, written
 
 #: The books are fitted on at most so many vectors, those with the smallest hashes of their ids.
 FIT_ROWS = 16_384
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 1
-#: Bytes of vectors of a shard, distinct vectors of it that are measured exactly for a query.
-SHARD_BYTES, RERANK = 16 << 20, 1024
+#: Bytes of vectors of a shard; the share of its distinct vectors that is measured exactly for a query, and the least number, in multiples of k.
+SHARD_BYTES, SHARE, LEAST = 16 << 20, 0.02, 4
 #: Queries broadcast at a time, and scored at a time.
 QUERY_BLOCK, SCORE_BLOCK = 100_000, 128
 
@@ -99,12 +101,10 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROU
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that take part: id not null, a vector of the commonest length that isn't zero and has finite components only."""
+    """(id, v, d) of the rows that take part: id not null, a vector of finite components that isn't zero, and its length."""
     v = F.col(vector)
     ok = F.col(key).isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    good = df.where(ok).select(F.col(key).alias("id"), v.alias("v"))
-    dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return good.where(F.size("v") == (dims[0]["d"] if dims else 0))
+    return df.where(ok).select(F.col(key).alias("id"), v.alias("v"), F.size(v).alias("d"))
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -133,7 +133,8 @@ def _index(books, kind):
         rows = np.argsort(group, kind="stable")
         starts = np.searchsorted(group[rows], np.arange(len(v) + 1))
         norms = (books.value.decode(codes) ** 2).sum(1)
-        blobs = (ids[rows].astype(np.int64), starts.astype(np.int64), v, codes.astype(np.int32), norms.astype(np.float32))
+        codes = (codes - np.arange(codes.shape[1]) * books.value.k).astype(np.uint8)
+        blobs = (ids[rows].astype(np.int64), starts.astype(np.int64), v, codes, norms.astype(np.float32))
         yield pa.RecordBatch.from_pydict({n: [x.tobytes()] for n, x in zip(("ids", "starts", "v", "codes", "norms"), blobs)} | {"d": pa.array([v.shape[1]], pa.int32())})
 
     return build
@@ -144,77 +145,95 @@ def exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return (v * q).sum(1) if metric == "ip" else -((v - q) ** 2).sum(1)
 
 
-def _search(books, queries, kind, k: int, metric: str, rerank: int, base: int):
+def _scores(t: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of table entries: one row a query, one column a vector."""
+    out = np.empty((t.shape[1], len(codes)), np.float32)
+    for i in range(0, len(codes), 2048):
+        s = t[codes[i : i + 2048, 0]]
+        for m in range(1, codes.shape[1]):
+            s += t[codes[i : i + 2048, m]]
+        out[:, i : i + 2048] = s.T
+    return out
+
+
+def _search(books, queries, kind, k: int, metric: str, share: float, rerank: int | None, base: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, (qids, qs) = books.value, queries.value
         tables = (b.flat @ qs.astype(np.float32).T) * np.float32(1 if metric == "ip" else 2)
+        # The best of this task's shards so far, by query.
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids)
         for batch in batches:
             for r in batch.to_pylist():
                 ids, starts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["starts"], np.int64)
                 v = np.frombuffer(r["v"], kind).reshape(-1, r["d"])
-                codes = np.frombuffer(r["codes"], np.int32).reshape(len(v), -1)
+                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(v), -1) + np.arange(b.m) * b.k
                 norms = np.frombuffer(r["norms"], np.float32)
-                keep = min(rerank, len(v))
+                keep = min(rerank or max(LEAST * k, math.ceil(share * len(v))), len(v))
                 for at in range(0, len(qids), SCORE_BLOCK):
-                    t = np.ascontiguousarray(tables[:, at : at + SCORE_BLOCK])
-                    scores = np.empty((t.shape[1], len(v)), np.float32)
-                    for i in range(0, len(v), 2048):
-                        s = t[codes[i : i + 2048, 0]]
-                        for m in range(1, codes.shape[1]):
-                            s += t[codes[i : i + 2048, m]]
-                        scores[:, i : i + 2048] = s.T
+                    scores = _scores(np.ascontiguousarray(tables[:, at : at + SCORE_BLOCK]), codes)
                     if metric != "ip":
                         scores -= norms
-                    out: list[list[np.ndarray]] = [[], [], [], []]
-                    for j in range(t.shape[1]):
+                    for j in range(len(scores)):
                         near = np.argpartition(-scores[j], keep - 1)[:keep] if keep < len(v) else np.arange(len(v))
                         s = exact(qs[at + j], v[near], metric)
                         # A vector's rows tie; beyond its k + 1 smallest ids none can be among the k nearest.
                         take = np.minimum(starts[near + 1] - starts[near], k + 1)
-                        rows = np.repeat(starts[near], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+                        rows = ragged(starts[near], take)
                         who, s = ids[rows], np.repeat(s, take)
                         other = who != qids[at + j]
-                        who, s = who[other], s[other]
-                        best = np.lexsort((who, -s))[:k]
-                        for o, x in zip(out, (np.full(len(best), base + at + j), np.full(len(best), qids[at + j]), who[best], s[best])):
-                            o.append(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["q", "query_id", "vec_id", "score"])
+                        who, s = (np.concatenate(x) for x in zip(best[at + j], (who[other], s[other])))
+                        first = np.lexsort((who, -s))[:k]
+                        best[at + j] = who[first], s[first]
+        for at in range(0, len(qids), SCORE_BLOCK):
+            some = best[at : at + SCORE_BLOCK]
+            n = [len(w) for w, _ in some]
+            q = np.arange(at, at + len(some))
+            columns = np.repeat(base + q, n), np.repeat(qids[q], n), np.concatenate([w for w, _ in some]), np.concatenate([s for _, s in some])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "query_id", "vec_id", "score"])
 
     return search
 
 
-def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, metric: str = "ip", rerank: int = RERANK, fit_rows: int = FIT_ROWS, shard_bytes: int = SHARD_BYTES, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, metric: str = "ip", share: float = SHARE, rerank: int | None = None, fit_rows: int = FIT_ROWS, shard_bytes: int = SHARD_BYTES, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The `k` nearest rows of `df` for each row of `queries` (of the same columns): query_id, rank, vec_id, score.
 
     `metric`: `ip` (largest inner product) or `l2` (score: minus the squared distance); ties go to the
-    smaller id. Only `usable` rows take part, other columns don't matter; integer ids. Each row of
-    `queries` is a query of its own, even if it repeats an id; rows with the query's id are not its
-    candidates. Fewer than `k` candidates: all of them. No usable rows: no rows. The books are fitted
-    on `fit_rows` rows at most; all rows are indexed. Blocks of `query_block` queries are broadcast.
+    smaller id. Only `usable` rows take part, other columns don't matter; integer ids. A query's candidates
+    are the rows of its length. Each row of `queries` is a query of its own, even if it repeats an id; rows
+    with the query's id are not its candidates. Fewer than `k` candidates: all of them. No usable rows: no
+    rows. The books are fitted on `fit_rows` rows at most; all rows are indexed. `share` of a shard's distinct
+    vectors (`LEAST` times `k` at least), or else `rerank` of them, are measured exactly for a query. Blocks of `query_block` queries
+    are broadcast, one after another.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     kind = np.float64 if isinstance(df.schema[vector].dataType.elementType, T.DoubleType) else np.float32
     rows, asks = usable(df, key, vector), usable(queries, key, vector)
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").toArrow()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not some.num_rows:
-        return spark.createDataFrame([], schema)
-    x = _matrix(some.column("v"), kind)
-    books = spark.sparkContext.broadcast(fit(np.unique(x, axis=0)))
-    shards = rows.repartition(parts(scan_bytes(df.select(key, vector)), shard_bytes))
-    index = written(shards.mapInArrow(_index(books, kind), "ids binary, starts binary, v binary, codes binary, norms binary, d int"), "aq-index")
-    blocks = parts(asks.count(), query_block)
-    found = None
-    for n in range(blocks):
-        block = asks.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
-        block = (block.column("id").to_numpy().astype(np.int64), _matrix(block.column("v"), kind))
-        if not len(block[0]) or block[1].shape[1] != x.shape[1]:
-            continue
-        shared = spark.sparkContext.broadcast(block)
-        part = index.mapInArrow(_search(books, shared, kind, k, metric, rerank, n << 40), "q bigint, query_id bigint, vec_id bigint, score double")
-        found = part if found is None else found.unionAll(part)
+    sizes = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}
+    blocks = {r["d"]: parts(r["count"], query_block) for r in asks.groupBy("d").count().collect()}
+    found, schema = None, "q bigint, query_id bigint, vec_id bigint, score double"
+    every = sum(n * d for d, n in sizes.items())
+    base = 0
+    for d in sorted(sizes.keys() & blocks.keys()):
+        here = rows.where(F.col("d") == d).select("id", "v")
+        some = here.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").toArrow()
+        books = spark.sparkContext.broadcast(fit(np.unique(_matrix(some.column("v"), kind), axis=0)))
+        shards = here.repartition(parts(scan_bytes(df.select(key, vector)) * sizes[d] * d / every, shard_bytes))
+        index = written(shards.mapInArrow(_index(books, kind), "ids binary, starts binary, v binary, codes binary, norms binary, d int"), "aq-index")
+        # A task for each core, each with as many shards.
+        index = index.coalesce(max(1, spark.sparkContext.defaultParallelism))
+        mine = asks.where(F.col("d") == d).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks[d])).alias("block"))
+        mine = written(mine.repartition("block"), "aq-queries") if blocks[d] > 1 else mine
+        for n in range(blocks[d]):
+            block = mine.where(F.col("block") == n).toArrow()
+            if not block.num_rows:
+                continue
+            shared = spark.sparkContext.broadcast((block.column("id").to_numpy().astype(np.int64), _matrix(block.column("v"), kind)))
+            part = index.mapInArrow(_search(books, shared, kind, k, metric, share, rerank, base << 40), schema)
+            part = written(part, "aq-found") if blocks[d] > 1 else part
+            found = part if found is None else found.unionAll(part)
+            base += 1
     if found is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

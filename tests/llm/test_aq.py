@@ -58,3 +58,12 @@ def test_books_beat_their_start():
     x = np.random.default_rng(3).normal(size=(600, 8)).astype(np.float32)
     error = lambda b: ((x - b.decode(b.encode(x))) ** 2).sum()
     assert error(aq.fit(x, 3, 16, 3)) <= error(aq.fit(x, 3, 16, 0))
+
+
+def test_lengths_are_spaces_of_their_own(spark):
+    """The commonest length among the queries isn't that among the rows."""
+    rows = [(i, [float(i % 7), 1.0, float(i % 3), 2.0]) for i in range(40)] + [(20 * i, [1.0, float(i)]) for i in range(100, 103)]
+    df = spark.createDataFrame([(i, v, "") for i, v in rows], D)
+    got = sorted(map(tuple, aq.nearest(df, df.where("vec_id % 20 = 0"), k=5).collect()))
+    want = [x for d in (4, 2) for x in brute([r for r in rows if len(r[1]) == d], 5) if x[0] % 20 == 0]
+    assert got == sorted(want)
