@@ -38,3 +38,23 @@ def test_too_few_labels_give_a_constant(spark):
     assert {r.score for r in quality.scored(docs, rules).collect()} == {0.5}
     one = spark.createDataFrame([(1, 1), (1, 1)], "doc_id long, quality int")
     assert quality.learn(docs, one).scores(np.zeros((1, len(quality.STATISTICS))))[0] == 0.75
+
+
+def test_query_equals_plain_evaluation(spark):
+    """All rows of a small table, learnt and scored without Spark."""
+    import zlib
+
+    import duckdb
+
+    from .helpers import SMALL
+
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()
+    labels = duckdb.sql(f"SELECT doc_id, quality FROM '{SMALL}/labels.parquet'").fetchall()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    x = {i: quality.statistics(t) for i, t in docs}
+    rows = sorted((i, q, *x[i]) for i, q in labels if not held(i) and i in x and q in (0, 1))
+    rules = quality.fit(np.array([r[2:] for r in rows]), np.array([float(r[1]) for r in rows]))
+    want = dict(zip(x, rules.scores(np.array(list(x.values())))))
+    got = queries.op8_quality(spark, SMALL).collect()
+    assert {r.doc_id: r.held_out for r in got} == {i: held(i) for i in x} and len(got) == len(docs)
+    assert all(abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == int(r.score >= 0.3) for r in got)
