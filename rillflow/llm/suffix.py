@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm import induced
-from rillflow.llm.common import mix, parts, ragged, scan_bytes, written
+from rillflow.llm.common import mix, parts, ragged, scan_bytes, work_dir, written
 from rillflow.llm.lm import _packed, _unpacked
 
 LENGTH, KGRAM = 50, 16
@@ -331,8 +331,10 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
     rows = rows.withColumn("g", F.pmod(F.xxhash64("rid"), F.lit(groups)).cast("int"))
     name = f"repeated_{uuid.uuid4().hex}"
-    rows.repartition(buckets, "g").write.bucketBy(buckets, "g").format("parquet").saveAsTable(name)
+    # Buckets need a name in the catalogue; the files stay when it is dropped.
+    rows.repartition(buckets, "g").write.bucketBy(buckets, "g").format("parquet").option("path", work_dir(spark, "repeated")).saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
     known = table.where("id is not null")
 
     def count(key: tuple, left: pa.Table) -> pa.Table:
