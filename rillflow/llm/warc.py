@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import bounded_batches, fresh, parts, scan_bytes, work_dir, written
+from rillflow.llm.common import bounded_batches, parts, scan_bytes, work_dir, written
 
-#: Records of one archive file: bounds what a reader holds.
-FILE_RECORDS = 1000
-#: Bytes of input for each range of the index.
-RANGE_BYTES = 64 << 20
+#: Records and payload bytes of one archive file: bounds what a reader holds.
+FILE_RECORDS, FILE_BYTES = 1000, 64 << 20
+#: Bytes of input for each range of the index, and the most ranges: the driver samples SAMPLE captures for each.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 10_000
 #: A table of duplicated digests of at most this many rows (64 bytes each) is broadcast.
 BROADCAST_ROWS = 200_000
 SAMPLE = 100
@@ -57,12 +57,18 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(labels)) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (u.path or "/") + (f"?{u.query}" if u.query else "")
 
 
+def _stamp(when: Column | None) -> Column:
+    """Text of a time in UTC, whatever the session's zone."""
+    when = when if when is not None else F.timestamp_seconds(F.lit(946684800))
+    return F.date_format(F.to_utc_timestamp(when, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def _records(pages: DataFrame, key: str, url: str, html: str, when: Column | None, min_bytes: int) -> DataFrame:
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     base = pages.select(
         F.col(key).alias("id"),
         F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]+", " ").alias("url"),
-        F.date_format(when if when is not None else F.timestamp_seconds(F.lit(946684800)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        _stamp(when).alias("ts"),
         payload.alias("payload"),
     )
     base = base.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("bigint"))
@@ -97,8 +103,17 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     )
     block = F.concat(F.col("http").cast("binary"), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")))
     records = _records(pages, key, url, html, when, min_bytes).withColumn("http", http)
-    records = records.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    # Of each size class (a factor of 4) as many records a file as stay within its bytes.
+    least = FILE_BYTES // FILE_RECORDS
+    size = F.when(F.col("revisit"), 0).otherwise(F.col("bytes"))
+    most = pages.agg(F.max(F.octet_length(F.col(f"`{html}`").cast("string")))).first()[0] or 0
+    classes = [least]
+    while classes[-1] < most:
+        classes.append(4 * classes[-1])
+    for n, top in enumerate(classes):
+        some = records if len(classes) == 1 else records.where((size > (classes[n - 1] if n else -1)) & (size <= top))
+        some = some.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
+        some.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, FILE_BYTES // top)).text(path)
     return path
 
 
@@ -186,14 +201,14 @@ class LoserTree:
             self._play(w)
 
 
-def _runs(splitters: list[bytes]):
+def _runs(splitters: list[tuple]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 run = sorted((capture(path, *r) for r in parse(content.as_buffer().to_pybytes())), key=order)
                 slices: dict[int, list] = {}
                 for c in run:
-                    slices.setdefault(bisect_right(splitters, c["url_key"].encode()), []).append(c)
+                    slices.setdefault(bisect_right(splitters, order(c)[:3]), []).append(c)
                 yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(slices.values(), pa.list_(_CAPTURE))], ["part", "slice"])
 
     return read
@@ -224,15 +239,17 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 def capture_index(spark, path: str, urls: DataFrame | None = None, ranges: int = 1) -> DataFrame:
     """The captures of the archives in `path`, in global order of (part, rank).
 
-    `urls`: a column of URLs, from a sample of which the splitters come; its size doesn't matter for
-    the result. Captures with equal URL keys stand in one range, a run's slice of it being sorted.
+    `urls`: a column of URLs, or columns of URLs, timestamps and page ids, from a sample of which the
+    splitters come; its size doesn't matter for the result. With timestamps and ids the captures of one
+    URL part too; without, they stand in one range.
     """
     bounded_batches(spark)
-    splitters: list[bytes] = []
+    splitters: list[tuple] = []
+    ranges = min(ranges, MOST_RANGES)
     if ranges > 1 and urls is not None:
         n = urls.count()
-        seen = urls.sample(min(1.0, SAMPLE * ranges / max(n, 1)), 7).limit(2 * SAMPLE * ranges).toPandas().iloc[:, 0]
-        keys = sorted(url_key(None if u != u else u).encode() for u in seen)
+        seen = urls.sample(min(1.0, SAMPLE * ranges / max(n, 1)), 7).limit(2 * SAMPLE * ranges).collect()
+        keys = sorted(order({"url_key": url_key(r[0]), "ts": r[1], "id": r[2], "file": "", "at": 0})[:3] if len(r) > 2 else (url_key(r[0]).encode(),) for r in seen)
         splitters = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     runs = files.mapInArrow(_runs(splitters), f"part int, slice array<struct<{_DDL.replace(' ', ':').replace(',:', ',')}>>")
@@ -244,4 +261,5 @@ def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     spark = pages.sparkSession
     path = write_archives(pages, key, url, html, when, min_bytes)
     ranges = parts(scan_bytes(pages.select(key, url, html)), RANGE_BYTES)
-    return capture_index(spark, path, pages.select(F.col(url).cast("string").alias(fresh(pages, "u"))), ranges)
+    sampled = pages.select(F.col(f"`{url}`").cast("string").alias("url"), _stamp(when).alias("ts"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("id"))
+    return capture_index(spark, path, sampled, ranges)
