@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import bounded_batches, fresh
+from rillflow.llm.common import bounded_batches, fresh, written
 
 WINDOW = 10
 #: Bytes of test windows that are searched for in one pass; more make further passes.
@@ -182,13 +182,16 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, text: str = "text", item:
     A null or wordless text has no words and no hits; a null or wordless item has no windows; a hit on
     an item whose id is null counts as a hit without naming an item. Equal rows are kept and judged
     alike. Without windows nothing is hit. A block of windows of at most `block_bytes` is broadcast at a
-    time; a larger benchmark makes further narrow passes, so nothing is dropped. No shuffle.
+    time; a larger benchmark makes further narrow passes with a table between two, so nothing is dropped.
+    No shuffle.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     into = fresh(docs, into)
     out, n = docs, 0
     for block in _blocks(bench, item, bench_text, window, block_bytes):
+        # One block is searched at a time: what the passes before found is a table.
+        out = written(out, "hits") if n else out
         shared = spark.sparkContext.broadcast(block)
         args = [F.col(text).cast("string")] + ([F.col(into)] if n else [])
         out = out.withColumn(into, _pass(shared, n > 0)(*args))
