@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from rillflow.llm.common import bounded_batches, fresh, parts, scan_bytes, work_dir
 
 #: Bytes of documents for each file of the model.
-PART_BYTES = 16 << 20
+PART_BYTES, MOST_PARTS = 16 << 20, 4096
 #: Words and pairs that a worker holds before it sends them on; words whose ids it keeps.
 HELD, HELD_PAIRS = 400_000, 3_000_000
 END = b"\n"
@@ -383,7 +383,9 @@ def train(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) ->
     bounded_batches(spark)
     sc = spark.sparkContext
     some = docs.select(F.col(text).cast("string").alias("text"))
-    n = parts(scan_bytes(docs.select(text)), part_bytes)
+    size = scan_bytes(docs.select(text))
+    # Parts grow with the data, so that workers map a bounded number of files.
+    n = parts(size, max(part_bytes, math.ceil(size / MOST_PARTS)))
     split = (np.arange(1, n, dtype=np.float64) / n * 2.0**64).astype(U64)
     counted = some.mapInArrow(_count_words(split), _ROW).repartitionById(n, F.col("part")).mapInArrow(_merge_words, _ROW)
     words = _stored(counted, "lm-words")
