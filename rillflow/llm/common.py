@@ -30,6 +30,8 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if not top:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="rillflow-")
         spark.conf.set("spark.checkpoint.dir", top) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
