@@ -229,45 +229,100 @@ def limbs(c: Column, precision: int, scale: int) -> list[Column]:
     return [F.substring(digits, 1 + 18 * k, 18).cast("decimal(20,0)") * sign for k in range(n)]
 
 
-def sums(df: DataFrame, groups: list[str], columns: dict[str, tuple[str, int, int]]) -> DataFrame:
-    """Per group, `name -> (column, precision, scale)`: the exact sum as text, NULL without values. Partial sums before the shuffle."""
-    parts, named = [], []
-    for name, (c, p, s) in columns.items():
-        here = limbs(F.col(c), p, s)
-        parts += [F.sum(x).alias(f"{name}__{k}") for k, x in enumerate(here)]
-        named.append(_joined([F.col(f"{name}__{k}") for k in range(len(here))], s).alias(name))
+#: Sums of decimals of up to so many digits stay exact in Spark's own type: it adds ten digits.
+NATIVE_DIGITS = 28
+
+
+def limbs_sql(c: str, precision: int) -> list[str]:
+    """As `limbs`, as SQL text."""
+    n = math.ceil(precision / 18)
+    digits = f"lpad(regexp_replace({c}, '[-.]', ''), {18 * n}, '0')"
+    return [f"cast(substring({digits}, {1 + 18 * k}, 18) AS decimal(20,0)) * CASE WHEN startswith({c}, '-') THEN -1 ELSE 1 END" for k in range(n)]
+
+
+def total(limb_sums: list, scale: int) -> str | None:
+    if limb_sums[0] is None:
+        return None
+    n = 0
+    for v in limb_sums:
+        n = n * 10**18 + int(v)
+    return text((n, scale))
+
+
+def mean(total: str, n: int, scale: int) -> str:
+    """At one more fraction digit, half even."""
+    x, s = parsed(total)
+    return text((half_even(x * 10 ** (scale + 1 - s), n), scale + 1))
+
+
+SCALARS |= {"rf_decimal_total": (total, S, 1), "rf_decimal_mean": (mean, S, 1)}
+
+
+def aggregated(df: DataFrame, groups: list[str], columns: dict[str, tuple[str, str, int, int]]) -> DataFrame:
+    """Per group, `name -> (sum | avg | min | max, column, precision, scale)` as text, in one aggregation with partial results before the shuffle.
+
+    A column is a native decimal or canonical text. Means have one more fraction digit, half even. Up to 28 digits
+    Spark's decimals are exact and do the work; beyond, sums go by limbs of 18 digits and extremes by a key that
+    sorts as the numbers do. Without values: NULL.
+    """
+    parts: list[Column] = []
+    named: list[Column] = []
+    for name, (fn, column, p, s) in columns.items():
+        c = F.col(column)
+        native = p <= NATIVE_DIGITS and (fn != "avg" or p + s + 13 <= 38)
+        number = c.cast(T.DecimalType(min(p, 38), s if native else 0)) if native else c.cast("string")
+        if fn in ("min", "max"):
+            best = (F.min if fn == "min" else F.max)(number) if native else (minimum if fn == "min" else maximum)(number)
+            parts.append(best.alias(name))
+            named.append(F.col(name).cast("string").alias(name))
+            continue
+        if native:
+            parts.append(F.sum(number).alias(f"{name}__0"))
+        else:
+            parts += [F.sum(x).alias(f"{name}__{k}") for k, x in enumerate(limbs(number, p, s))]
+        parts.append(F.count(column).alias(f"{name}__n"))
+        if native:
+            total = F.col(f"{name}__0")
+            named.append((total.cast("string") if fn == "sum" else _mean(total, F.col(f"{name}__n"), p, s)).alias(name))
+        else:
+            values = [F.col(f"{name}__{k}") for k in range(math.ceil(p / 18))]
+            named.append((_joined(values, s) if fn == "sum" else _wide_mean(values, F.col(f"{name}__n"), s)).alias(name))
     return df.groupBy(*groups).agg(*parts).select(*groups, *named)
 
 
+def sums(df: DataFrame, groups: list[str], columns: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """Per group, `name -> (column, precision, scale)`: the exact sum as text, NULL without values."""
+    return aggregated(df, groups, {n: ("sum", *c) for n, c in columns.items()})
+
+
 def averages(df: DataFrame, groups: list[str], columns: dict[str, tuple[str, int, int]]) -> DataFrame:
     """Exact mean at one more fraction digit, half even."""
-    counts = df.groupBy(*groups).agg(*[F.count(c).alias(f"{name}__n") for name, (c, _, _) in columns.items()])
-    total = sums(df, groups, columns)
-    joined = total.join(counts, groups) if groups else total.crossJoin(counts)
-    from rillflow.functions.scalars import vectorised
+    return aggregated(df, groups, {n: ("avg", *c) for n, c in columns.items()})
 
-    def mean(total: str, n: int, scale: int) -> str | None:
-        if not n:
-            return None
-        x, s = parsed(total)
-        return text((half_even(x * 10 ** (scale + 1 - s), n), scale + 1))
 
-    each = vectorised(mean, S, 2)
-    return joined.select(*groups, *[each(F.col(name), F.col(f"{name}__n"), F.lit(s)).alias(name) for name, (_, _, s) in columns.items()])
+def _mean(total: Column, n: Column, precision: int, scale: int) -> Column:
+    """Whole-number division with remainder, so that nothing is rounded twice."""
+    whole, wide = T.DecimalType(38, 0), T.DecimalType(38, scale + 1)
+    top = F.abs((total * F.lit(10 ** (scale + 1)).cast(T.DecimalType(scale + 2, 0))).cast(whole))
+    rest = F.when(n > 0, top % n.cast(T.DecimalType(20, 0)))
+    q = ((top - rest) / n.cast(T.DecimalType(20, 0))).cast(whole)
+    up = (2 * rest > n) | ((2 * rest == n) & (q % 2 == 1))
+    q = (q + F.when(up, 1).otherwise(0)).cast(whole)
+    digits = F.lpad(q.cast("string"), F.greatest(F.length(q.cast("string")), F.lit(scale + 2)), F.lit("0"))
+    text_ = F.concat(F.substr(digits, F.lit(1), F.length(digits) - (scale + 1)), F.lit("."), F.substr(digits, F.length(digits) - scale))
+    return F.when((total < 0) & (q > 0), F.concat(F.lit("-"), text_)).otherwise(text_)
 
 
-def _joined(parts: list[Column], scale: int) -> Column:
+def _wide_mean(parts: list[Column], n: Column, scale: int) -> Column:
     from rillflow.functions.scalars import vectorised
 
-    def join(values: list, scale: int) -> str | None:
-        if values[0] is None:
-            return None
-        n = 0
-        for v in values:
-            n = n * 10**18 + int(v)
-        return text((n, scale))
+    return vectorised(mean, S, 1)(_joined(parts, scale), n, F.lit(scale))
+
+
+def _joined(parts: list[Column], scale: int) -> Column:
+    from rillflow.functions.scalars import vectorised
 
-    return vectorised(join, S, 1)(F.array(*[p.cast("string") for p in parts]), F.lit(scale))
+    return vectorised(total, S, 1)(F.array(*[p.cast("string") for p in parts]), F.lit(scale))
 
 
 def minimum(c: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from rillflow.functions import decimals, scalars
+from rillflow.functions import decimals, dialect, scalars
 from rillflow.functions.sqltext import Macro, expand, literal, quote
 
 
@@ -102,6 +103,51 @@ def _wide_integer(args: list[str]) -> str:
     return f"rf_decimal_from_bytes32({args[0]}, {kind})"
 
 
+_TYPED = re.compile(r"rf_decimal_(?:try_)?(?:from_string|cast)\(.*,\s*\(?(\d+)\)?,\s*\(?(\d+)\)?(?:,[^,]*)?\)\)?", re.S)
+
+
+def _wide_cast(fn: str) -> Macro:
+    """`(value, precision, scale)`, or `(value, fallback)` where the fallback is a conversion from text that names both."""
+
+    def build(args: list[str]) -> str:
+        if len(args) == 3:
+            return f"{fn}({', '.join(args)})"
+        typed = _TYPED.fullmatch(args[1].strip().lstrip("(")) if len(args) == 2 else None
+        if not typed:
+            raise ValueError("a cast to a wide decimal takes a precision and a scale, or a conversion from text as its fallback")
+        return f"{fn}(cast({args[0]} AS string), {typed[1]}, {typed[2]})"
+
+    return build
+
+
+def _numbered(a: list[str]) -> str:
+    """Elements with the number of their value's occurrences so far (NULLs count as equal)."""
+    return f"transform({a[0]}, (x, i) -> named_struct('x', x, 'k', CASE WHEN x <=> ({a[1]}) THEN size(filter(slice({a[0]}, 1, i + 1), y -> y <=> ({a[1]}))) END))"
+
+
+def _removed_n(args: list[str]) -> str:
+    if len(args) != 3:
+        raise ValueError("array_remove_n takes an array, a value and a number")
+    return f"transform(filter({_numbered(args)}, s -> s.k IS NULL OR s.k > ({args[2]})), s -> s.x)"
+
+
+def _replaced(args: list[str]) -> str:
+    if len(args) != 4:
+        raise ValueError("array_replace takes an array, a value and its replacement; array_replace_n a number too")
+    return f"transform({_numbered(args)}, s -> CASE WHEN s.k <= ({args[3]}) THEN {args[2]} ELSE s.x END)"
+
+
+def _encoded(args: list[str]) -> str:
+    """encode(x, 'hex' | 'base64'); other names are character sets, as in Spark."""
+    how = (literal(args[1]) or "").lower()
+    return {"hex": f"lower(hex({args[0]}))", "base64": f"replace(rtrim('=', base64(cast({args[0]} AS binary))), '\r\n', '')"}.get(how, f"encode({', '.join(args)})")
+
+
+def _decoded(args: list[str]) -> str:
+    how = (literal(args[1]) or "").lower() if len(args) == 2 else ""
+    return {"hex": f"unhex({args[0]})", "base64": f"unbase64({args[0]})"}.get(how, f"decode({', '.join(args)})")
+
+
 def _agg(fn: str, absent: bool, pairs: bool) -> Macro:
     flag = str(absent).lower()
     if pairs:
@@ -111,7 +157,7 @@ def _agg(fn: str, absent: bool, pairs: bool) -> Macro:
 
 MACROS: dict[str, Macro] = {
     # time
-    "now": _template("current_timestamp()", 0), "today": _template("current_date()", 0), "uuid7": lambda a: "rf_uuid7(cast(monotonically_increasing_id() AS int))",
+    "now": _template("current_timestamp()", 0), "today": _template("current_date()", 0), "uuid7": lambda a: "rf_uuid7(monotonically_increasing_id())",
     # arrays
     "_gs_split_string_to_array": _template("split({0}, concat('\\\\Q', {1}, '\\\\E'))", 1, ("' '",)),
     "_gs_generate_series": _template("CASE WHEN {2} = 0 THEN raise_error('a series needs a step') WHEN ({2} > 0) = ({0} <= {1}) OR {0} = {1} THEN sequence(cast({0} AS bigint), cast({1} AS bigint), cast({2} AS bigint)) ELSE cast(array() AS array<bigint>) END", 2, ("1",)),
@@ -127,7 +173,9 @@ MACROS: dict[str, Macro] = {
     "array_remove": _template("CASE WHEN array_position({0}, {1}) > 0 THEN concat(slice({0}, 1, cast(array_position({0}, {1}) AS int) - 1), slice({0}, cast(array_position({0}, {1}) AS int) + 1, size({0}))) ELSE {0} END", 2),
     "array_remove_all": _template("filter({0}, x -> NOT (x <=> {1}))", 2), "array_replace_all": _template("transform({0}, x -> CASE WHEN x <=> {1} THEN {2} ELSE x END)", 3),
     "array_positions": _template("filter(transform({0}, (x, i) -> CASE WHEN x <=> {1} THEN cast(i + 1 AS bigint) END), p -> p IS NOT NULL)", 2),
-    "array_position": _template("nullif(array_position({0}, {1}), 0)", 2), "array_agg": _template("transform(collect_list(named_struct('v', {0})), s -> s.v)", 1),
+    "array_position": _template("nullif(array_position({0}, {1}), 0)", 2), "array_agg": dialect.ordered_list,
+    "array_remove_n": _removed_n, "array_replace": lambda a: _replaced([*a, "1"]), "array_replace_n": lambda a: _replaced(a),
+    "approx_distinct": _template("approx_count_distinct({0})", 1),
     # hashes and bytes
     "_gs_xxhash": _template("rf_xxhash128({0})", 1), "_gs_keccak256": _template("rf_keccak256({0})", 1), "_gs_conv_base": _template("rf_conv_base(cast({0} AS string), cast({1} AS int), cast({2} AS int))", 3),
     "_gs_from_base58": _template("rf_from_base58({0})", 1),
@@ -149,6 +197,8 @@ MACROS: dict[str, Macro] = {
     "lowercase": _template("lower({0})", 1), "uppercase": _template("upper({0})", 1), "charlength": _template("char_length({0})", 1), "similar": _template("{0} RLIKE {1}", 2), "regexp": _template("{0} RLIKE {1}", 2),
     "to_hex": _template("lower(hex({0}))", 1), "hex": _template("lower(hex({0}))", 1),
     "concat": lambda a: "concat(" + ", ".join(f"coalesce(cast({x} AS string), '')" for x in a) + ")",
+    "strpos": _template("instr({0}, {1})", 2), "to_char": dialect.time_text, "date_format": dialect.time_text, "dateformat": dialect.time_text,
+    "encode": lambda a: _encoded(a), "decode": lambda a: _decoded(a), "overlay": lambda a: f"overlay({', '.join(a)})",
     # JSON
     "json_quote": _template("rf_json_quote({0})", 1), "json_unquote": _template("rf_json_unquote({0})", 1), "json_exists": _template("rf_json_exists({0}, {1}, {2})", 2, ("'FALSE'",)),
     "json_array": lambda a: f"rf_json_array({_struct(a)}, false)", "json_array_absent_on_null": lambda a: f"rf_json_array({_struct(a)}, true)",
@@ -167,18 +217,38 @@ MACROS: dict[str, Macro] = {
     "decimal_arb_to_sort_key": _template("rf_decimal_key({0})", 1), "to_decimal_arb_from_string": _template("rf_decimal_from_string({0}, {1}, {2})", 3, ("''",)), "try_to_decimal_arb_from_string": _template("rf_decimal_try_from_string({0}, {1}, {2})", 3, ("''",)),
     "to_decimal_arb_from_decimal128": _template("cast({0} AS string)", 1), "to_decimal_arb_from_decimal256": _template("cast({0} AS string)", 1), "to_decimal_arb_from_int": _template("rf_decimal_from_string(cast({0} AS string), {1}, {2})", 3),
     "decimal_arb_to_decimal128": lambda a: f"cast(rf_decimal_native({a[0]}, {a[1]}, {a[2]}) AS decimal({a[1]}, {a[2]}))", "decimal_arb_to_decimal256": _template("rf_decimal_native({0}, {1}, {2})", 3),
-    "decimal_arb_cast_numeric": _template("{0}", 2), "decimal_arb_cast_wide_decimal": _template("rf_decimal_cast({0}, {1}, {2})", 3), "decimal_arb_try_cast_wide_decimal": _template("rf_decimal_try_cast({0}, {1}, {2})", 3),
+    "decimal_arb_cast_numeric": _template("{0}", 2), "decimal_arb_cast_wide_decimal": _wide_cast("rf_decimal_cast"), "decimal_arb_try_cast_wide_decimal": _wide_cast("rf_decimal_try_cast"),
     "legacy_wide_int_to_decimal_arb": _wide_integer,
 }
 
 
+_OWN = re.compile(r"\brf_\w+")
+
+
+def ready(spark: SparkSession, sql: str) -> str:
+    """`sql`, after the private UDFs that it names are registered in this session."""
+    known = spark.__dict__.setdefault("_rillflow_udfs", set())
+    for name in set(_OWN.findall(sql)) - known:
+        if name == "rf_uuid7":
+            udf = scalars.vectorised(scalars.uuid7, scalars.S, 0).asNondeterministic()
+        elif name in scalars.SCALARS or name in decimals.SCALARS:
+            udf = scalars.vectorised(*(scalars.SCALARS.get(name) or decimals.SCALARS[name]))
+        else:
+            continue
+        spark.udf.register(name, udf)
+        known.add(name)
+    return sql
+
+
 def register(spark: SparkSession) -> None:
-    """The private UDFs behind the library, in this session."""
-    scalars.register(spark)
-    for name, (f, kind, strict) in decimals.SCALARS.items():
-        spark.udf.register(name, scalars.vectorised(f, kind, strict))
+    """All private UDFs behind the library, in this session."""
+    ready(spark, " ".join([*scalars.SCALARS, *decimals.SCALARS, "rf_uuid7"]))
+
+
+#: Calls that `dialect.by_types` decides on: of text or of arrays.
+TYPED: dict[str, Macro] = {"concat": lambda a: f"concat({', '.join(a)})"}
 
 
 def rewritten(sql: str, more: dict[str, Callable[[list[str]], str]] | None = None) -> str:
-    """Pipeline SQL as Spark SQL."""
-    return expand(sql, {**MACROS, **(more or {})})
+    """Pipeline SQL as Spark SQL, but for what depends on types: with TYPED as `more`, `dialect.by_types` does that part."""
+    return expand(dialect.prepared(sql), {**MACROS, **(more or {})})

@@ -11,7 +11,6 @@ import time
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,8 +195,19 @@ def _bad(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
+_DECODER = json.JSONDecoder(parse_constant=_bad)
+#: Texts of at most so many characters are kept with what they parse to, for the other functions of a batch.
+KEPT_CHARS = 4096
+
+
+@functools.lru_cache(20_000)
+def _parsed(text: str):
+    return _DECODER.decode(text)
+
+
 def parsed(text: str):
-    return json.loads(text, parse_constant=_bad)
+    """The value of a JSON text, not to be changed."""
+    return _parsed(text) if len(text) <= KEPT_CHARS else _DECODER.decode(text)
 
 
 def dumped(value) -> str:
@@ -418,12 +428,9 @@ def vectorised(f, kind: T.DataType, strict: int):
     arrow = to_arrow_type(kind)
 
     def run(*columns: pa.Array) -> pa.Array:
-        return pa.array([None if any(v is None for v in row[:strict]) else f(*row) for row in zip(*(c.to_pylist() for c in columns))], arrow)
+        values = [c.to_pylist() for c in columns]
+        if not any(c.null_count for c in columns[:strict]):
+            return pa.array(list(map(f, *values)), arrow)
+        return pa.array([None if None in row[:strict] else f(*row) for row in zip(*values)], arrow)
 
     return F.arrow_udf(run, kind)
-
-
-def register(spark: SparkSession) -> None:
-    for name, (f, kind, strict) in SCALARS.items():
-        spark.udf.register(name, vectorised(f, kind, strict))
-    spark.udf.register("rf_uuid7", vectorised(uuid7, S, 0).asNondeterministic())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,22 @@ def placed(df: DataFrame, parallelism: int | None, keys: list[str] | None = None
     return df.repartition(parallelism, *keys) if keys else df.repartition(parallelism)
 
 
+def rebatched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows`, the last one shorter; at most that many are held."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        while size + b.num_rows >= rows:
+            cut = rows - size
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0]
+            held, size, b = [], 0, b.slice(cut)
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def ascending(c: str | Column) -> Column:
     """Order with NULLs last, as in the pipeline dialect."""
     return (F.col(c) if isinstance(c, str) else c).asc_nulls_last()

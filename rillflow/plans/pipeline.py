@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rillflow.functions import library
+from rillflow.functions import dialect, library, scalars, wide
 from rillflow.operators import lookup
-from rillflow.operators.relational import placed
+from rillflow.operators.relational import placed, rebatched
 from rillflow.plans import validate
 from rillflow.plans.spec import Node, Spec, SpecError, load, seconds
 from rillflow.rowkind import INSERT, OP, with_op
 from rillflow.sources import connect, sinks
-from rillflow.streaming.state import MemoryState
+from rillflow.streaming.state import MemoryState, Scoped
 
 #: Settings of the caller's session that a pipeline's own session takes over.
 CONF = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled")
@@ -32,13 +34,14 @@ class Plugins:
         self.functions: dict[str, tuple] = {}
         self.preprocessors: list[Callable[[str], str]] = []
         self.side_outputs: dict[str, list[Callable[[DataFrame, int], None]]] = {}
+        self.state: Callable[[str], Scoped] | None = None  # set by the pipeline that runs them
 
     def kinds(self) -> dict[str, object]:
         return {**self.sources, **self.transforms, **self.sinks}
 
 
 class Session:
-    """A Spark session of its own with the function library; SQL text is in the pipeline dialect."""
+    """A Spark session of its own; SQL text is in the pipeline dialect, whose private functions are registered as texts name them."""
 
     def __init__(self, spark: SparkSession, plugins: Plugins | None = None):
         self.plugins = plugins or Plugins()
@@ -47,14 +50,13 @@ class Session:
             value = spark.conf.get(key, None)
             if value is not None:
                 self.spark.conf.set(key, value)
-        library.register(self.spark)
         for name, (f, kind, aliases) in self.plugins.functions.items():
             for n in (name, *aliases):
-                self.spark.udf.register(n, f if hasattr(f, "returnType") else F.udf(f, kind))
+                self.spark.udf.register(n, f if hasattr(f, "returnType") else scalars.vectorised(f, StructType.fromDDL(f"x {kind}").fields[0].dataType, 0))
 
     def sql(self, text: str) -> DataFrame:
         """Anything that Spark SQL has, with the library's names."""
-        return self.spark.sql(library.rewritten(text))
+        return self.spark.sql(library.ready(self.spark, dialect.by_types(self.spark, library.rewritten(text, library.TYPED))))
 
     def view(self, name: str, df: DataFrame) -> str:
         """Registers `df`; a dotted name becomes one word in the session."""
@@ -79,15 +81,18 @@ def narrow_sql(session: Session, text: str, inputs: dict[str, DataFrame], tables
     for name, df in inputs.items():
         df = with_op(session.own(df))
         for n, (table, value) in enumerate(asked):
-            df = lookup.check(df.withColumn(f"_value_{n}", F.expr(library.rewritten(value))), session.own(tables[table]), f"_value_{n}", f"_check_{n}").drop(f"_value_{n}")
+            df = lookup.check(df.withColumn(f"_value_{n}", F.expr(library.ready(session.spark, library.rewritten(value)))), session.own(tables[table]), f"_value_{n}", f"_check_{n}").drop(f"_value_{n}")
         names[name] = session.view(f"in_{name}", df)
     count = iter(range(len(asked)))
-    sql = library.rewritten(text, {"dynamic_table_check": lambda args: f"`_check_{next(count)}`"} if asked else None)
+    sql = library.rewritten(text, library.TYPED | ({"dynamic_table_check": lambda args: f"`_check_{next(count)}`"} if asked else {}))
     for name, view in sorted(names.items(), key=lambda x: -len(x[0])):
         sql = renamed(sql, name, view)
-    validate.check(session.spark.sql(sql))
+    sql = dialect.by_types(session.spark, sql, any(wide.concerns("", session.spark.table(v)) for v in names.values()))
+    validate.check(session.spark.sql(library.ready(session.spark, sql)))
     df = session.spark.sql(_carried(sql))
     hidden = [c for c in df.columns if c.startswith("_check_")]
+    if wide.concerns(sql) or any(wide.concerns("", session.spark.table(v)) for v in names.values()):
+        df = wide.marked(df, wide.Plan(df, _carried(sql)).columns())
     return with_op(df.drop(*hidden))
 
 
@@ -120,46 +125,56 @@ def renamed(sql: str, name: str, view: str) -> str:
 
 
 def _carried(sql: str) -> str:
-    """Adds the change kind to every SELECT list of a source that has it and doesn't name it."""
-    from rillflow.functions.sqltext import tokens
+    """Adds the change kind to the SELECT lists of the query, its derived tables and its CTEs; subqueries in expressions keep theirs."""
+    from rillflow.functions.dialect import Group, _solid, _text, _tree, _word
+
+    def level(nodes: list) -> str:
+        """One bracket's SELECTs, which UNION may join."""
+        starts = [k for k, n in enumerate(nodes) if _word(n) == "select"]
+        unions = any(_word(n) == "union" for n in nodes)
+        at, out = 0, ""
+        for n, start in enumerate(starts):
+            stop = starts[n + 1] if n + 1 < len(starts) else len(nodes)
+            end = next((k for k in range(start, stop) if _word(nodes[k]) == "union"), stop)
+            source = next((k for k in range(start, end) if _word(nodes[k]) == "from" and not _distinct(nodes, k)), -1)
+            listed = nodes[start + 1 : source if source >= 0 else end]
+            out += inside(nodes[at:start]) + "select"
+            out += inside(listed)
+            words = [x for x in listed if not (not isinstance(x, Group) and x[0] == "space")]
+            named = any(not isinstance(x, Group) and x[1].strip('`"') == OP for x in listed)
+            star = any(x == ("other", "*") and (k + 1 == len(words) or words[k + 1] == ("other", ",")) and (not k or words[k - 1] in (("other", ","), ("other", "."))) for k, x in enumerate(words))
+            if source >= 0 and not named and not star and not (words and _word(words[0]) == "distinct"):
+                out += f", {OP} "
+            elif source < 0 and unions and not named:
+                # A branch of a union that reads no table inserts.
+                out += f" , '{INSERT}' AS {OP} "
+            out += inside(nodes[source:end], True) if source >= 0 else ""
+            at = end
+        return out + inside(nodes[at:])
+
+    def inside(nodes: list, tables: bool = False) -> str:
+        out = ""
+        for k, n in enumerate(nodes):
+            if isinstance(n, Group):
+                before = _word(nodes[b]) if (b := _solid(nodes, k - 1, -1)) >= 0 and k else ""
+                first = _word(n[f]) if (f := _solid(n, 0)) >= 0 else ""
+                # FROM (SELECT ...), or WITH x AS (SELECT ...) outside of a SELECT list.
+                deep = first in ("select", "with") and (before in ("from", "join") or (before == "as" and not tables))
+                out += n.opening + (level(n) if deep else _text(n)) + (")" if n.opening == "(" else "]")
+            else:
+                out += n[1]
+        return out
 
-    parts = tokens(sql)
-    out, depth, open_select = [], 0, False
-    for at, (kind, text) in enumerate([*parts, ("end", "")]):
-        # A branch of a union that reads no table inserts.
-        depth += (kind == "other" and text == "(") - (kind == "other" and text == ")")
-        word = text.lower() if kind == "word" and not depth else kind if kind == "end" else ""
-        if word in ("union", "end"):
-            if open_select and len(out) and any(t[1].lower() == "union" for t in parts):
-                out.append(f" , '{INSERT}' AS {OP} ")
-            open_select = False
-        elif word == "select":
-            open_select = True
-        elif word == "from":
-            open_select = False
-        words = [t[1].lower() for t in parts[max(0, at - 8) : at] if t[0] != "space"]
-        if kind == "word" and text.lower() == "from" and not (words[-1:] == ["distinct"] and words[-2:-1] in (["is"], ["not"])):
-            level, k, listed = 0, at - 1, []
-            while k >= 0:
-                t = parts[k]
-                level += (t == ("other", ")")) - (t == ("other", "("))
-                if level < 0 or (level == 0 and t[0] == "word" and t[1].lower() == "select"):
-                    break
-                listed.append(t)
-                k -= 1
-            if k >= 0 and level == 0:
-                flat, inner = [], 0
-                for t in listed:
-                    inner += (t == ("other", ")")) - (t == ("other", "("))
-                    if inner == 0:
-                        flat.append(t[1])
-                star = any(t == "*" and (n + 1 == len(flat) or flat[n + 1 :] and "".join(flat[n + 1 :]).strip()[:1] in (",", "", ".")) for n, t in enumerate(flat))
-                first = [t for t in flat if t.strip()]
-                distinct = bool(first) and first[-1].lower() == "distinct"
-                if OP not in [t.strip("`\"") for t in flat] and not (star and (first == ["*"] or "*" in first)) and not distinct:
-                    out.append(f", {OP} ")
-        out.append(text)
-    return "".join(out)
+    return level(_tree(sql))
+
+
+def _distinct(nodes: list, at: int) -> bool:
+    """Whether the FROM at `at` is that of IS [NOT] DISTINCT FROM."""
+    from rillflow.functions.dialect import _solid, _word
+
+    before = _solid(nodes, at - 1, -1)
+    two = _solid(nodes, before - 1, -1) if before > 0 else -1
+    return before >= 0 and _word(nodes[before]) == "distinct" and two >= 0 and _word(nodes[two]) in ("is", "not")
 
 
 def script(df: DataFrame, process: Callable[[dict], dict | list | None], schema: str | None = None) -> DataFrame:
@@ -187,7 +202,10 @@ def script(df: DataFrame, process: Callable[[dict], dict | list | None], schema:
 
 
 def handler(df: DataFrame, options: dict) -> DataFrame:
-    """Rows through an HTTP endpoint; `schema_override` adds, retypes (a type) or removes (null) columns."""
+    """Rows through an HTTP endpoint; `schema_override` adds, retypes (a type) or removes (null) columns.
+
+    Answers are rows in the order sent; those beyond the rows sent are inserts.
+    """
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for name, kind in (options.get("schema_override") or {}).items():
         if kind is None:
@@ -199,7 +217,7 @@ def handler(df: DataFrame, options: dict) -> DataFrame:
     rows = df.select(F.col(OP), asked.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rebatched(batches, int(options.get("batch_size", 1000))):
             ops, bodies = b.column(0).to_pylist(), b.column(1).to_pylist()
             sent = [sinks.payload(options, o, r) for o, r in zip(ops, bodies)]
             if options.get("one_row_per_request"):
@@ -207,7 +225,7 @@ def handler(df: DataFrame, options: dict) -> DataFrame:
             else:
                 got = json.loads(sinks.post(options, sent)) if sent else []
             got = [g.get("data", g) if int(options.get("payload_version", 0)) == 1 else g for g in got]
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(g) for g in got], pa.string()), pa.array(ops[: len(got)], pa.string())], ["row", "op"])
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(g) for g in got], pa.string()), pa.array((ops + [INSERT] * len(got))[: len(got)], pa.string())], ["row", "op"])
 
     made = rows.mapInArrow(run, "row string, op string")
     body = ", ".join(f"`{n}` {k}" for n, k in fields.items() if n != OP)
@@ -220,6 +238,8 @@ class Pipeline:
         self.session = Session(spark, self.plugins)
         self.spec = raw if isinstance(raw, Spec) else load(raw, self.plugins.preprocessors, self.plugins.kinds())
         self.state = state or MemoryState()
+        #: A plugin's part of the store, which outlives a restart where the store does.
+        self.plugins.state = lambda name: Scoped(self.state, name)
         self.tables = {n: lookup.DynamicTable(self.session.spark, n, f"{state_path}/{t.options.get('backend_entity_name', n)}" if state_path and str(t.options.get("backend_type", "")).lower() == "postgres" else None) for n, t in self.spec.transforms.items() if t.kind == "dynamic_table"}
 
     def outputs(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -315,15 +335,27 @@ class Pipeline:
             query.awaitTermination()
         return query
 
+    def stop(self, query, policy: str = "auto") -> None:
+        """Ends a running query: `drain` first works off what has arrived, `fast` doesn't, `auto` drains bounded sources only."""
+        if policy not in ("auto", "drain", "fast"):
+            raise SpecError(f"no drain policy {policy}")
+        if policy == "drain" or (policy == "auto" and all(connect.bounded(s) for s in self.spec.sources.values())):
+            query.processAllAvailable()
+        query.stop()
+
     def _bounded_phases(self, name: str, source: Node, mode: str) -> Node | None:
         """Runs the bounded phases that aren't done yet; the unbounded source, or None for a job."""
-        for n in range(self.state.get(f"{name}.phase") or 0, len(source.options["bounded_sources"])):
+        phases = len(source.options["bounded_sources"])
+        for n in range(self.state.get(f"{name}.phase") or 0, phases):
+            if n == phases - 1 and self.state.get(f"{name}.since") is None:
+                # What arrives while the last phase is read belongs to the unbounded source.
+                self.state.put(f"{name}.since", int(time.time() * 1000))
             epoch = (self.state.get("epoch") or 0) + 1
             self._write({name: self.session.own(with_op(connect.hybrid_source(self.session.spark, source, False, n)))}, epoch)
             self.state.put("epoch", epoch)
             self.state.put(f"{name}.phase", n + 1)
         after = source.options.get("unbounded_source")
-        return None if mode == "available_now" or not after else Node(name, after["source_type"], after, primary_key=source.primary_key)
+        return None if mode == "available_now" or not after else Node(name, after["source_type"], {"starting_timestamp": self.state.get(f"{name}.since"), **after}, primary_key=source.primary_key)
 
 
 def _compiled(name: str, options: dict) -> Callable:

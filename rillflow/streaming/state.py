@@ -29,3 +29,16 @@ class SqliteState:
     def put(self, key: str, value) -> None:
         with self._db:
             self._db.execute("INSERT INTO state VALUES (?, ?) ON CONFLICT (key) DO UPDATE SET value = excluded.value", (key, json.dumps(value)))
+
+
+class Scoped:
+    """A plugin's own part of a store: its keys are seen by it alone."""
+
+    def __init__(self, store, name: str):
+        self._store, self._name = store, name
+
+    def get(self, key: str):
+        return self._store.get(f"plugin.{self._name}.{key}")
+
+    def put(self, key: str, value) -> None:
+        self._store.put(f"plugin.{self._name}.{key}", value)
