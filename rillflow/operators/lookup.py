@@ -1,6 +1,7 @@
 """Dynamic tables: named sets of strings, filled by a branch of a pipeline and asked by another.
 
-A check of a scalar or of an array becomes a join against the set; a set within a bound is broadcast.
+A check of a scalar or of an array becomes a join against the set; Spark broadcasts a set that its
+statistics or, at run time, its size in bytes show to be small.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Values of a set of at most so many rows are broadcast.
-BROADCAST_ROWS = 1_000_000
 _CHECK = re.compile(r"dynamic_table_check\s*\(", re.I)
 
 
@@ -50,14 +49,15 @@ def check(df: DataFrame, table: DataFrame, column: str, into: str) -> DataFrame:
     NULL gives NULL, an empty array false, NULL elements are skipped. One row of `df` stays one row.
     """
     values = table.select(F.col(table.columns[0]).alias("_value_")).where("_value_ is not null").distinct()
-    values = F.broadcast(values) if values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else values
     if not isinstance(df.schema[column].dataType, T.ArrayType):
         joined = df.join(values.withColumn("_in_", F.lit(True)), F.col(column).cast("string") == F.col("_value_"), "left")
         return joined.withColumn(into, F.when(F.col(column).isNull(), None).otherwise(F.coalesce("_in_", F.lit(False)))).drop("_value_", "_in_")
-    # Arrays: one row an element, then back by a row number.
-    marked = df.withColumn("_row_", F.monotonically_increasing_id())
-    each = marked.select("_row_", F.explode(column).alias("_value_")).join(values, "_value_", "left_semi").select("_row_").distinct().withColumn("_in_", F.lit(True))
-    return marked.join(each, "_row_", "left").withColumn(into, F.when(F.col(column).isNull(), None).otherwise(F.coalesce("_in_", F.lit(False)))).drop("_row_", "_in_")
+    # Arrays: the distinct arrays are judged, by their own elements, and joined back by what they hold.
+    lists = df.select(F.col(column).alias("_list_")).where("_list_ is not null").distinct()
+    each = lists.select("_list_", F.explode(F.array_distinct("_list_")).alias("_value_")).withColumn("_value_", F.col("_value_").cast("string"))
+    hits = each.join(values, "_value_", "left_semi").select("_list_").distinct().withColumn("_in_", F.lit(True))
+    joined = df.join(hits, F.col(column) == F.col("_list_"), "left")
+    return joined.withColumn(into, F.when(F.col(column).isNull(), None).otherwise(F.coalesce("_in_", F.lit(False)))).drop("_list_", "_in_")
 
 
 def checks(sql: str) -> list[tuple[str, str]]:

@@ -63,10 +63,20 @@ def file_source(spark: SparkSession, node: Node, streaming: bool) -> DataFrame:
         if o.get("batch_files"):
             reader = reader.option("maxFilesPerTrigger", int(o["batch_files"]))
         found = reader.load(o["path"])
-    out = with_op(found)
+    out = with_op(wide_marked(found, o.get("schema") or {}))
     return out.where(o["filter"]) if o.get("filter") else out
 
 
+def wide_marked(df: DataFrame, declared: dict[str, str]) -> DataFrame:
+    """`df` whose columns of declared decimals beyond 38 digits, held as text, say so in their metadata."""
+    wide = {}
+    for name, kind in declared.items():
+        k = kind.strip().lower().replace(" ", "")
+        if k.startswith("decimal") and schema_ddl({name: kind}).endswith(" string"):
+            wide[name] = k[k.index("(") + 1 : -1] if "(" in k else ""
+    return df.select(*[F.col(f"`{c}`").alias(c, metadata={"decimal_arb": wide[c]}) if c in wide else F.col(f"`{c}`") for c in df.columns]) if wide else df
+
+
 def _discovered(spark: SparkSession, reader, path: str, kind: str, options: dict, o: dict) -> DataFrame:
     """Partition columns where folders are named so; else every file below the folder."""
     top = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -115,7 +125,9 @@ def shaped_history(df: DataFrame, node: Node) -> DataFrame:
 def kafka_options(node: Node) -> dict[str, str]:
     o = node.options
     start = {"earliest": "earliest", "latest": "latest"}.get(str(o.get("start_at", o.get("starting_offsets", "earliest"))).lower(), None) or str(o["starting_offsets"])
-    return {"kafka.bootstrap.servers": str(o.get("bootstrap_servers", "localhost:9092")), "subscribe": o["topic"], "startingOffsets": start, "includeHeaders": "true"}
+    since = o.get("starting_timestamp")
+    first = {"startingOffsets": start} if since is None else {"startingTimestamp": str(since)}
+    return {"kafka.bootstrap.servers": str(o.get("bootstrap_servers", "localhost:9092")), "subscribe": o["topic"], **first, "includeHeaders": "true"}
 
 
 def decoded(records: DataFrame, node: Node) -> DataFrame:

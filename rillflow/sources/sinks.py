@@ -1,7 +1,8 @@
 """Sinks: writers of one batch; streams call them by `foreachBatch`, where a batch id is the epoch.
 
 A sink with a primary key first keeps the last row of each key, unless `deduplicate` is false. Upserts
-go to Parquet snapshots (two folders in turn, a pointer file last) or by JDBC where a driver is there.
+go to Parquet snapshots, a folder an epoch: the newest one whose write was committed counts. Appending
+sinks note the epochs that they have written, so that a replayed batch changes nothing.
 """
 
 from __future__ import annotations
@@ -71,12 +72,31 @@ class Memory(Sink):
         self.batches.setdefault(self.node.name, []).append(self.spark.createDataFrame(out.collect(), out.schema))
 
 
+class Epochs:
+    """Marks of the epochs that were appended to a folder; readers don't see them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.top = f"{path.rstrip('/')}/_epochs"
+        self._fs = self._path(self.top).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def done(self, epoch: int) -> bool:
+        return self._fs.exists(self._path(f"{self.top}/{epoch}"))
+
+    def mark(self, epoch: int) -> None:
+        self._fs.create(self._path(f"{self.top}/{epoch}"), True).close()
+
+
 class Files(Sink):
     def write(self, batch, epoch):
+        epochs = Epochs(self.spark, self.options["path"])
+        if epochs.done(epoch):
+            return
         writer = batch.write.mode("append").format(self.options.get("format", "parquet"))
         if self.options.get("partition_by"):
             writer = writer.partitionBy(*self.options["partition_by"])
         writer.save(self.options["path"])
+        epochs.mark(epoch)
 
 
 class Webhook(Sink):
@@ -128,35 +148,39 @@ def post_rows(options: dict, rows) -> None:
 
 
 class Snapshot:
-    """A table of one Parquet folder a version; a small file names the current one, so replays overwrite."""
+    """A table of one Parquet folder an epoch: the newest one that was committed is the table."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _committed(self) -> list[int]:
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._at(""))]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdecimal() and self._fs.exists(self._at(f"{n}/_SUCCESS")))
 
     def epoch(self) -> int | None:
         """The last epoch that was written."""
-        if not self._fs.exists(self._at("current")):
-            return None
-        return int(self.spark.read.text(f"{self.path}/current").first()[0])
+        return (self._committed() or [None])[-1]
 
     def read(self) -> DataFrame | None:
         n = self.epoch()
         return None if n is None else self.spark.read.parquet(f"{self.path}/v{n}")
 
     def write(self, df: DataFrame, epoch: int) -> None:
-        before = self.epoch()
+        before = self._committed()
         df.write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
-        self.spark.createDataFrame([(str(epoch),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-        if before is not None and before != epoch:
-            self._fs.delete(self._at(f"v{before}"), True)
+        for n in before:
+            if n != epoch:
+                self._fs.delete(self._at(f"v{n}"), True)
 
 
 class Upsert(Sink):
-    """Relational upserts: JDBC append of the final rows where `url` is a JDBC address, else a snapshot at `path`."""
+    """Relational upserts into a snapshot at `path`."""
 
     def write(self, batch, epoch):
         last = ordered_keep_last(batch, self.node)
@@ -190,10 +214,14 @@ class Replacing(Sink):
     """Append-only rows with `is_deleted` and a version, or inserts and deletes apart; Parquet at `path`."""
 
     def write(self, batch, epoch):
-        batch = ordered_keep_last(batch, self.node)
+        epochs = Epochs(self.spark, self.options["path"])
         if self.options.get("append_only_mode", True):
+            if epochs.done(epoch):
+                return
+            batch = ordered_keep_last(batch, self.node)
             out = changelog.replacing_rows(batch, self.options.get("version_column_name", "insert_time"))
             out.write.mode("append").parquet(self.options["path"])
+            epochs.mark(epoch)
         else:
             Upsert(self.spark, self.node).write(batch, epoch)
 

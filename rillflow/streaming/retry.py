@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from typing import TypeVar
+from urllib.error import HTTPError
 
 Result = TypeVar("Result")
 
@@ -16,7 +17,10 @@ def retried(task: Callable[[], Result], attempts: int | None = None, first: floa
         n += 1
         try:
             return task()
-        except (OSError, TimeoutError):
+        except (OSError, TimeoutError) as e:
+            # Of the answers 4xx only these two ask for another try.
+            if isinstance(e, HTTPError) and 400 <= e.code < 500 and e.code not in (408, 429):
+                raise
             if attempts is not None and n >= int(attempts):
                 raise
             sleep(wait)
