@@ -81,10 +81,10 @@ def dynamic_table_lookup(spark: SparkSession, d: str) -> DataFrame:
     return narrow_sql(s, "SELECT o_orderkey, o_custkey FROM orders WHERE dynamic_table_check('rich', o_custkey)", {"orders": s.spark.table("orders").withColumn(OP, F.lit("i"))}, {"rich": table.rows()})
 
 
-@_query("dynamic_table_any_element", "SELECT p_partkey, bool_or(w IN (SELECT lower(n_name) FROM nation UNION SELECT string_split(p_name, ' ')[1] FROM part WHERE p_partkey <= 20)) AS hit FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_partkey")
+@_query("dynamic_table_any_element", "SELECT p_partkey, bool_or(w IN (SELECT lower(n_name) FROM nation UNION SELECT string_split(p_name, ' ')[1] FROM part)) AS hit FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_partkey")
 def dynamic_table_any_element(spark: SparkSession, d: str) -> DataFrame:
     part = spark.read.parquet(f"{d}/part.parquet")
-    heads = part.where("p_partkey <= 20").select(F.get(F.split("p_name", " "), 0).alias("value"))
+    heads = part.select(F.get(F.split("p_name", " "), 0).alias("value"))
     names = spark.read.parquet(f"{d}/nation.parquet").select(F.lower("n_name").alias("value"))
     words = part.select("p_partkey", F.split("p_name", " ").alias("words"))
     return lookup.check(words, names.union(heads), "words", "hit").select("p_partkey", "hit")
@@ -120,15 +120,16 @@ def landing_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "upsert_merge",
-    f"""WITH n AS (SELECT user_id, event_id, amount, {OP} FROM {_CHANGES} WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
-    o AS (SELECT user_id, event_id, amount FROM {_CHANGES} WHERE event_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    f"""WITH n AS (SELECT user_id, event_id, amount, {OP} FROM {_CHANGES} WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+    o AS (SELECT user_id, event_id, amount FROM {_CHANGES} WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
     SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_id, o.event_id) AS event_id, (CASE WHEN n.user_id IS NOT NULL THEN n.amount ELSE o.amount END)::DOUBLE AS amount
     FROM o FULL JOIN n ON o.user_id = n.user_id WHERE coalesce({OP}, 'i') <> 'd'""",
 )
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    """All events: those of odd ids are the table, those of even ids the changes."""
     changes = _changes(spark, d).select("user_id", "event_id", "amount", OP)
-    current = changelog.keep_last(changes.where("event_id % 3 = 1"), ["user_id"], ["event_id"]).drop(OP)
-    return changelog.upsert(current, changes.where("event_id % 3 = 0"), ["user_id"], ["event_id"]).withColumn("amount", F.col("amount").cast("double"))
+    current = changelog.keep_last(changes.where("event_id % 2 = 1"), ["user_id"], ["event_id"]).drop(OP)
+    return changelog.upsert(current, changes.where("event_id % 2 = 0"), ["user_id"], ["event_id"]).withColumn("amount", F.col("amount").cast("double"))
 
 
 _SIGNED = f"sum(CASE WHEN {OP} = 'd' THEN -amount ELSE amount END)"
@@ -204,11 +205,75 @@ _wide("statistics_aggregates", "part", "SELECT p_type, round(avg(p_size), 6) AS
 # ---- wide decimals ---------------------------------------------------------------------------------
 
 
-@_query("decimal_sum_avg", "SELECT l_returnflag, sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(38,2)::VARCHAR AS s, min(l_extendedprice::DECIMAL(18,2))::VARCHAR AS low, max(l_extendedprice::DECIMAL(18,2))::VARCHAR AS high FROM lineitem GROUP BY l_returnflag")
+_MEAN = "sum(l_extendedprice::DECIMAL(18,2))"
+
+
+@_query("decimal_sum_avg", f"""SELECT l_returnflag, {_MEAN}::DECIMAL(38,2)::VARCHAR AS s, min(l_extendedprice::DECIMAL(18,2))::VARCHAR AS low, max(l_extendedprice::DECIMAL(18,2))::VARCHAR AS high,
+    (((({_MEAN} * 1000)::DECIMAL(38,0)::HUGEINT // count(*)) + CASE WHEN 2 * (({_MEAN} * 1000)::DECIMAL(38,0)::HUGEINT % count(*)) > count(*) OR (2 * (({_MEAN} * 1000)::DECIMAL(38,0)::HUGEINT % count(*)) = count(*) AND (({_MEAN} * 1000)::DECIMAL(38,0)::HUGEINT // count(*)) % 2 = 1) THEN 1 ELSE 0 END)::DECIMAL(34,0) * 0.001::DECIMAL(4,3))::DECIMAL(38,3)::VARCHAR AS mean
+    FROM lineitem GROUP BY l_returnflag""")
 def decimal_sum_avg(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("p"))
-    ends = rows.groupBy("l_returnflag").agg(decimals.minimum(F.col("p")).alias("low"), decimals.maximum(F.col("p")).alias("high"))
-    return decimals.sums(rows, ["l_returnflag"], {"s": ("p", 100, 2)}).join(ends, "l_returnflag")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.col("l_extendedprice").cast("decimal(18,2)").alias("p"))
+    return decimals.aggregated(rows, ["l_returnflag"], {"s": ("sum", "p", 18, 2), "low": ("min", "p", 18, 2), "high": ("max", "p", 18, 2), "mean": ("avg", "p", 18, 2)})
+
+
+@_query("wide_decimal_aggregates", "SELECT n_regionkey, (sum(n_nationkey)::HUGEINT::VARCHAR || repeat('0', 40) || '.00') AS s, (min(n_nationkey)::VARCHAR || CASE WHEN min(n_nationkey) > 0 THEN repeat('0', 40) ELSE '' END || '.00') AS low, (max(n_nationkey)::VARCHAR || repeat('0', 40) || '.00') AS high FROM nation GROUP BY n_regionkey")
+def wide_decimal_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """Values of up to 44 digits."""
+    s = _session(spark, d, "nation")
+    rows = s.sql("SELECT n_regionkey, decimal_arb_mul(to_decimal_arb_from_int(n_nationkey, 20, 0), '10000000000000000000000000000000000000000.00') AS v FROM nation")
+    return decimals.aggregated(rows, ["n_regionkey"], {"s": ("sum", "v", 63, 2), "low": ("min", "v", 63, 2), "high": ("max", "v", 63, 2)})
 
 
 _wide("decimal_arithmetic", "part", "SELECT p_partkey, decimal_arb_mul(CAST(CAST(p_retailprice AS decimal(12,2)) AS string), '3.25') AS m, decimal_arb_add(CAST(p_size AS string), '0.50') AS a, decimal_arb_gt(CAST(p_size AS string), '9.5') AS g FROM part", "SELECT p_partkey, (p_retailprice::DECIMAL(12,2) * 3.25::DECIMAL(4,2))::DECIMAL(20,4)::VARCHAR AS m, (p_size + 0.50)::DECIMAL(12,2)::VARCHAR AS a, p_size > 9.5 AS g FROM part")
+
+
+# ---- forms of the dialect --------------------------------------------------------------------------
+
+_I = f"'i' AS {OP}"
+_narrow("unnest_list", "part", "p_partkey", "SELECT p_partkey, unnest(_gs_split_string_to_array(p_name, ' ')) AS word FROM part WHERE p_size > 5", f"SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, {_I} FROM part WHERE p_size > 5")
+_narrow("unnest_two_lists", "nation", "n_nationkey", "SELECT n_nationkey, unnest([n_regionkey, n_nationkey, 7]) AS a, unnest([n_name, 'x']) AS b FROM nation", f"SELECT n_nationkey, unnest([n_regionkey, n_nationkey, 7]) AS a, unnest([n_name, 'x']) AS b, {_I} FROM nation")
+_narrow("unnest_nested", "nation", "n_nationkey", "SELECT n_nationkey, unnest(unnest([[n_regionkey, 1], [2]])) AS a FROM nation", f"SELECT n_nationkey, unnest([n_regionkey, 1, 2]) AS a, {_I} FROM nation")
+_narrow("unnest_in_derived_table", "nation", "n_nationkey", f"SELECT n_nationkey, md5(repeat(item, 3)) AS h, {OP} FROM (SELECT n_nationkey, unnest(make_array(n_name, 'z')) AS item, {OP} FROM nation WHERE n_regionkey > 0) AS t", f"SELECT n_nationkey, md5(repeat(item, 3)) AS h, {_I} FROM (SELECT n_nationkey, unnest([n_name, 'z']) AS item FROM nation WHERE n_regionkey > 0)")
+_narrow("cross_join_unnest", "part", "p_partkey", "SELECT p_partkey, u.word FROM part CROSS JOIN UNNEST(_gs_split_string_to_array(p_name, ' ')) AS u(word) WHERE length(u.word) > 4", f"SELECT p_partkey, word, {_I} FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) WHERE length(word) > 4")
+_narrow("cross_join_unnest_structs", "nation", "n_nationkey", "SELECT n_nationkey, f0, f1 FROM nation CROSS JOIN UNNEST(_gs_zip_arrays([n_regionkey, 9], [n_name, 'x'])) AS z(f0, f1)", f"SELECT n_nationkey, unnest([n_regionkey, 9]) AS f0, unnest([n_name, 'x']) AS f1, {_I} FROM nation")
+_narrow("whole_division", "orders", "o_orderkey", "SELECT o_orderkey, o_orderkey / 7 AS q, (o_orderkey / 3) / 2 AS twice, -o_orderkey / 2 AS neg, o_orderkey % 7 AS r, o_totalprice / 2 AS half FROM orders", f"SELECT o_orderkey, (o_orderkey // 7)::BIGINT AS q, ((o_orderkey // 3) // 2)::BIGINT AS twice, (-(o_orderkey // 2))::BIGINT AS neg, o_orderkey % 7 AS r, o_totalprice / 2 AS half, {_I} FROM orders")
+_narrow("subscripts", "part", "p_partkey", "SELECT p_partkey, _gs_split_string_to_array(p_name, ' ')[1] AS head, [p_size, 9][2] AS nine, [p_size][5] AS none, map('k', p_brand)['k'] AS brand, named_struct('s', p_size)['s'] AS s, named_struct('l', [p_size, 3]).l[1] AS l FROM part", f"SELECT p_partkey, string_split(p_name, ' ')[1] AS head, 9 AS nine, NULL::INT AS none, p_brand AS brand, p_size AS s, p_size AS l, {_I} FROM part")
+_narrow("concatenation", "customer", "c_custkey", "SELECT c_custkey, concat(c_name, nullif(c_mktsegment, 'BUILDING'), c_nationkey) AS t, c_name || '-' || c_mktsegment AS u, concat_ws('/', c_name, 'x') AS w, array_join(concat(['a'], [c_name]), ',') AS l FROM customer", f"SELECT c_custkey, concat(c_name, nullif(c_mktsegment, 'BUILDING'), c_nationkey) AS t, c_name || '-' || c_mktsegment AS u, concat_ws('/', c_name, 'x') AS w, 'a,' || c_name AS l, {_I} FROM customer")
+_narrow("subqueries_in_expressions", "nation", "n_nationkey", "SELECT n_nationkey, (SELECT max(n_nationkey) FROM nation) AS top FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)", f"SELECT n_nationkey, (SELECT max(n_nationkey) FROM nation) AS top, {_I} FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)")
+_narrow("wide_casts", "part", "p_partkey", "SELECT p_partkey, CAST(p_size AS DECIMAL(60, 20)) AS a, TRY_CAST(p_name AS DECIMAL(50, 2)) AS b, p_size::DECIMAL(40, 3) AS c FROM part", f"SELECT p_partkey, p_size::VARCHAR || '.' || repeat('0', 20) AS a, NULL::VARCHAR AS b, p_size::VARCHAR || '.000' AS c, {_I} FROM part")
+_wide("null_order", "nation", "SELECT n_nationkey, row_number() OVER (ORDER BY nullif(n_regionkey, 3), n_nationkey) AS up, row_number() OVER (ORDER BY nullif(n_regionkey, 3) DESC, n_nationkey) AS down FROM nation", "SELECT n_nationkey, row_number() OVER (ORDER BY nullif(n_regionkey, 3) NULLS LAST, n_nationkey) AS up, row_number() OVER (ORDER BY nullif(n_regionkey, 3) DESC NULLS FIRST, n_nationkey) AS down FROM nation")
+_wide("ordered_array_agg", "nation", "SELECT n_regionkey, array_join(array_agg(n_name ORDER BY n_nationkey DESC), ',') AS names, size(array_agg(nullif(n_nationkey, 3))) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey DESC) AS names, count(*)::INT AS n FROM nation GROUP BY n_regionkey")
+_wide("natural_join", "nation region", "SELECT n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) AS n NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) AS r")
+_wide("right_and_cross_join", "nation region", "SELECT r.r_regionkey AS r, count(n.n_nationkey) AS n, 'right' AS k FROM nation AS n RIGHT JOIN region AS r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey < 9 GROUP BY r.r_regionkey UNION ALL SELECT r.r_regionkey AS r, count(*) AS n, 'cross' AS k FROM nation AS n CROSS JOIN region AS r GROUP BY r.r_regionkey")
+_wide("offset_windows", "customer", "SELECT c_custkey, lead(c_custkey) OVER w AS next, first_value(c_custkey) OVER w AS head, last_value(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail, nth_value(c_custkey, 2) OVER w AS second, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)")
+_wide("more_aggregates", "orders", "SELECT o_orderpriority, approx_distinct(o_orderstatus) AS kinds, bool_and(o_totalprice > 0) AS pos, round(corr(o_totalprice, o_custkey), 6) AS r, round(var_pop(o_totalprice) / 1000, 3) AS v, count(DISTINCT o_custkey) AS c, min(o_orderkey) AS low FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, count(DISTINCT o_orderstatus) AS kinds, bool_and(o_totalprice > 0) AS pos, round(corr(o_totalprice, o_custkey), 6) AS r, round(var_pop(o_totalprice) / 1000, 3) AS v, count(DISTINCT o_custkey) AS c, min(o_orderkey) AS low FROM orders GROUP BY o_orderpriority")
+
+# ---- function library: groups that the queries above don't reach -----------------------------------
+
+_narrow("text_built_ins", "part", "p_partkey", "SELECT p_partkey, starts_with(p_name, 'a') AS sw, ends_with(p_name, 'e') AS ew, left(p_name, 3) AS l, right(p_name, 3) AS r, lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '*') AS rp, btrim('  x ') AS bt, repeat('ab', 3) AS rep, replace(p_brand, '#', '_') AS re, reverse(p_brand) AS rev, split_part(p_name, ' ', 2) AS sp, substring(p_name, 2, 4) AS sub, ascii(p_name) AS asc_, chr(65) AS ch, strpos(p_name, 'e') AS at, position('a' IN p_name) AS pos, to_hex(p_size) AS hx, overlay(p_brand PLACING 'xx' FROM 1 FOR 2) AS ov, initcap('ab cd') AS ic, encode(p_brand, 'hex') AS eh, CAST(decode('6162', 'hex') AS string) AS dh, length(uuid()) AS u FROM part", f"SELECT p_partkey, starts_with(p_name, 'a') AS sw, ends_with(p_name, 'e') AS ew, left(p_name, 3) AS l, right(p_name, 3) AS r, lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '*') AS rp, 'x' AS bt, 'ababab' AS rep, replace(p_brand, '#', '_') AS re, reverse(p_brand) AS rev, split_part(p_name, ' ', 2) AS sp, substring(p_name, 2, 4) AS sub, ascii(p_name) AS asc_, 'A' AS ch, strpos(p_name, 'e') AS at, strpos(p_name, 'a') AS pos, lower(to_hex(p_size)) AS hx, 'xx' || substr(p_brand, 3) AS ov, 'Ab Cd' AS ic, lower(hex(p_brand)) AS eh, 'ab' AS dh, 36 AS u, {_I} FROM part")
+_narrow("text_aliases", "part", "p_partkey", "SELECT p_partkey, startswith(p_name, 'a') AS sw, endswith(p_name, 'e') AS ew, lowercase(p_brand) AS lo, regexp(p_name, '^a') AS rx, similar(p_name, 'e$') AS si, hex(p_size) AS hx FROM part", f"SELECT p_partkey, starts_with(p_name, 'a') AS sw, ends_with(p_name, 'e') AS ew, lower(p_brand) AS lo, regexp_matches(p_name, '^a') AS rx, regexp_matches(p_name, 'e$') AS si, lower(to_hex(p_size)) AS hx, {_I} FROM part")
+_narrow("time_built_ins", "orders", "o_orderkey", "SELECT o_orderkey, to_char(o_orderdate, '%Y-%m-%d') AS d, date_format(o_orderdate, '%d/%m/%y at %H:%M') AS e, extract(year FROM o_orderdate) AS y, CAST(CAST(date_trunc('month', o_orderdate) AS date) AS string) AS m, now() > TIMESTAMP '2020-01-01 00:00:00' AS n, today() >= DATE '2020-01-01' AS t, current_date() >= DATE '2020-01-01' AS cd, current_time() IS NOT NULL AS ct FROM orders", f"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%d/%m/%y at %H:%M') AS e, extract(year FROM o_orderdate) AS y, date_trunc('month', o_orderdate)::DATE::VARCHAR AS m, true AS n, true AS t, true AS cd, true AS ct, {_I} FROM orders")
+_narrow("conditional_built_ins", "customer", "c_custkey", "SELECT c_custkey, greatest(c_custkey, 50) AS g, least(c_custkey, 50) AS l, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS c, nvl(nullif(c_nationkey, 3), -1) AS n, nvl2(nullif(c_nationkey, 3), 'a', 'b') AS m, ifnull(nullif(c_nationkey, 4), -2) AS i FROM customer", f"SELECT c_custkey, greatest(c_custkey, 50) AS g, least(c_custkey, 50) AS l, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS c, coalesce(nullif(c_nationkey, 3), -1) AS n, CASE WHEN c_nationkey = 3 THEN 'b' ELSE 'a' END AS m, coalesce(nullif(c_nationkey, 4), -2) AS i, {_I} FROM customer")
+_narrow("number_built_ins", "customer", "c_custkey", "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, round(power(c_custkey, 2), 3) AS p, round(sqrt(c_custkey), 9) AS s, mod(c_custkey, 7) AS m, round(ln(c_custkey + 1), 9) AS l, sign(c_acctbal) AS sg FROM customer", f"SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, floor(c_acctbal)::BIGINT AS f, ceil(c_acctbal)::BIGINT AS c, round(power(c_custkey, 2), 3) AS p, round(sqrt(c_custkey), 9) AS s, c_custkey % 7 AS m, round(ln(c_custkey + 1), 9) AS l, sign(c_acctbal)::DOUBLE AS sg, {_I} FROM customer")
+_L = "[1, n_regionkey, 2, 1, 1]"
+_narrow("array_built_ins", "nation", "n_nationkey", f"SELECT n_nationkey, array_join(transform(array_remove({_L}, 1), x -> CAST(x AS string)), ',') AS rm, array_join(transform(array_remove_n({_L}, 1, 2), x -> CAST(x AS string)), ',') AS rn, array_join(transform(array_replace([7, 1, 1], 1, 5), x -> CAST(x AS string)), ',') AS rp, array_join(transform(array_replace_n([1, 1, 1], 1, 5, 2), x -> CAST(x AS string)), ',') AS rpn, array_join(transform(array_replace_all([1, 2, 1], 1, 5), x -> CAST(x AS string)), ',') AS ra, array_position([4, 9, n_regionkey + 100], 9) AS pos, array_position([4], 9) AS nopos, array_join(transform(array_positions([1, 2, 1], 1), x -> CAST(x AS string)), ',') AS poss, array_has([n_regionkey], 1) AS has, array_has_all([1, 2, n_regionkey], [1, 2]) AS all_, size(array_append([1], 2)) AS ap, element_at(array_prepend([1], 9), 1) AS pre, array_min([n_regionkey, 2]) AS mi, array_max([n_regionkey, 2]) AS ma, cardinality(array_distinct([1, n_regionkey, 1])) AS di, array_join(transform(array_sort([3, 1, 2]), x -> CAST(x AS string)), ',') AS so, size(to_large_list([1, 2])) AS la FROM nation", f"SELECT n_nationkey, n_regionkey || ',2,1,1' AS rm, CASE WHEN n_regionkey = 1 THEN '2,1,1' ELSE n_regionkey || ',2,1' END AS rn, '7,5,1' AS rp, '5,5,1' AS rpn, '5,2,5' AS ra, 2::BIGINT AS pos, NULL::BIGINT AS nopos, '1,3' AS poss, n_regionkey = 1 AS has, true AS all_, 2 AS ap, 9 AS pre, least(n_regionkey, 2) AS mi, greatest(n_regionkey, 2) AS ma, CASE WHEN n_regionkey = 1 THEN 1 ELSE 2 END AS di, '1,2,3' AS so, 2 AS la, {_I} FROM nation")
+_Z = "_gs_zip_arrays([1, 2, n_regionkey], ['a', 'b', 'c'])"
+_narrow("struct_arrays", "nation", "n_nationkey", f"SELECT n_nationkey, array_join(array_struct_field(array_filter({_Z}, 'f0', 1), 'f1'), ',') AS f, array_filter_first({_Z}, 'f0', 2).f1 AS first, array_filter_first({_Z}, 'f0', 77).f1 AS none, array_join(array_struct_field(array_filter_in({_Z}, 'f0', [1, 2]), 'f1'), ',') AS fin, array_enumerate([n_name, 'q'])[2].index AS idx, array_enumerate([n_name, 'q'])[1].value AS val, _gs_map_to_array_struct(map('k', n_name))[1].key AS k, _gs_map_to_array_struct(map('k', n_name))[1].value AS v, array_join(transform(_gs_generate_series(5, 1, -2), x -> CAST(x AS string)), ',') AS down, size(_gs_generate_series(1, 5, -1)) AS empty FROM nation", f"SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'a,c' ELSE 'a' END AS f, 'b' AS first, NULL::VARCHAR AS none, CASE WHEN n_regionkey IN (1, 2) THEN 'a,b,c' ELSE 'a,b' END AS fin, 1::BIGINT AS idx, n_name AS val, 'k' AS k, n_name AS v, '5,3,1' AS down, 0 AS empty, {_I} FROM nation")
+_narrow("bytes_and_hashes", "nation", "n_nationkey", "SELECT n_nationkey, _gs_xxhash('') AS x, _gs_keccak256('') AS k, _gs_keccak256('0xzz') AS bad, _gs_byte_to_hex(_gs_from_base58('2NEpo7TZRRrLZSi2U')) AS b58, _gs_byte_to_hex(_gs_from_base58('0')) AS nob58, _gs_byte_to_hex(reverse_bytes32(_gs_hex_to_byte(concat(repeat('00', 31), 'ff')))) AS rev, _gs_byte_to_hex(coalesce_meta(nullif(_gs_hex_to_byte('00'), _gs_hex_to_byte('00')), _gs_hex_to_byte('0x0b'))) AS cm, _gs_byte_to_hex(unhex('4A')) AS un, _gs_conv_base('-255', 10, 16) AS cb FROM nation", f"SELECT n_nationkey, '99aa06d3014798d86001c324468d497f' AS x, '0xc5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470' AS k, NULL::VARCHAR AS bad, lower(hex('Hello World!')) AS b58, '' AS nob58, 'ff' || repeat('00', 31) AS rev, '0b' AS cm, '4a' AS un, '-ff' AS cb, {_I} FROM nation")
+_narrow("uuid7_over_partitions", "lineitem", "l_orderkey", "SELECT l_orderkey, l_linenumber, length(uuid7()) AS n, substring(uuid7(), 15, 1) AS version FROM lineitem", f"SELECT l_orderkey, l_linenumber, 36 AS n, '7' AS version, {_I} FROM lineitem")
+_narrow("more_regex_functions", "part", "p_partkey", "SELECT p_partkey, regexp_substr(p_brand, '[0-9]+') AS s, regexp_instr(p_name, 'e') AS i, array_join(regexp_extract_all(p_name, '([a-z])[aeiou]', 1), '') AS all_, regexp_count(p_name, 'zz') AS none, instr(p_name, 'e', -1) AS back FROM part", f"SELECT p_partkey, nullif(regexp_extract(p_brand, '[0-9]+'), '') AS s, strpos(p_name, 'e')::BIGINT AS i, array_to_string(regexp_extract_all(p_name, '([a-z])[aeiou]', 1), '') AS all_, 0::BIGINT AS none, (CASE WHEN strpos(p_name, 'e') = 0 THEN 0 ELSE length(p_name) - strpos(reverse(p_name), 'e') + 1 END)::BIGINT AS back, {_I} FROM part")
+_narrow("more_json_functions", "nation", "n_nationkey", """SELECT n_nationkey, json_quote(n_name) AS q, json_unquote(json_quote(n_name)) AS u, json_array_absent_on_null(n_nationkey, NULL, 'x') AS a, json_object_absent_on_null('k', n_nationkey, 'n', NULL) AS o, json(concat('{"b": 1, "a": ', n_nationkey, '}')) AS j, parse_json('[1, 2 ]') AS p, try_parse_json('{oops') AS t, is_json('[1]', 'ARRAY') AS ia, is_json('1', 'OBJECT') AS io, json_query('{"a": {"b": [1]}}', '$.a') AS jq, json_value('{"a": [10, 20]}', '$.a[1]') AS jv, json_exists('{"a": 1}', '$.a') AS e, _gs_json_objects_to_clickhouse_tuples('[{"a": "x", "b": 1}]', ['a', 'b', 'c']) AS ch FROM nation""", f"""SELECT n_nationkey, '"' || n_name || '"' AS q, n_name AS u, '[' || n_nationkey || ',"x"]' AS a, '{{"k":' || n_nationkey || '}}' AS o, '{{"a":' || n_nationkey || ',"b":1}}' AS j, '[1,2]' AS p, NULL::VARCHAR AS t, true AS ia, false AS io, '{{"b":[1]}}' AS jq, '20' AS jv, true AS e, '[(''x'', 1, null)]' AS ch, {_I} FROM nation""")
+_wide("more_json_aggregates", "nation", "SELECT n_regionkey, json_arrayagg_null_on_null(nullif(n_regionkey, 1)) AS an, json_arrayagg_absent_on_null(nullif(n_regionkey, 1)) AS aa, json_objectagg_absent_on_null(n_name, nullif(n_regionkey, 1)) AS oa FROM nation GROUP BY n_regionkey", """SELECT n_regionkey, '[' || string_agg(coalesce(nullif(n_regionkey, 1)::VARCHAR, 'null'), ',') || ']' AS an, '[' || coalesce(string_agg(nullif(n_regionkey, 1)::VARCHAR, ','), '') || ']' AS aa, '{' || coalesce(string_agg('"' || n_name || '":' || nullif(n_regionkey, 1), ',' ORDER BY n_name), '') || '}' AS oa FROM nation GROUP BY n_regionkey""")
+
+_D = "to_decimal_arb_from_int(p_size, 80, 2)"
+_narrow("decimal_comparisons", "part", "p_partkey", f"SELECT p_partkey, decimal_arb_eq({_D}, '10') AS eq, decimal_arb_neq({_D}, '10.0') AS neq, decimal_arb_lt({_D}, '9.5') AS lt, decimal_arb_lte({_D}, '10') AS lte, decimal_arb_gt({_D}, '10') AS gt, decimal_arb_gte({_D}, '10.00') AS gte, decimal_arb_to_sort_key({_D}) < decimal_arb_to_sort_key('20.00') AS key FROM part", f"SELECT p_partkey, p_size = 10 AS eq, p_size <> 10 AS neq, p_size < 9.5 AS lt, p_size <= 10 AS lte, p_size > 10 AS gt, p_size >= 10 AS gte, p_size < 20 AS key, {_I} FROM part")
+_narrow("decimal_operations", "part", "p_partkey", f"SELECT p_partkey, decimal_arb_to_string({_D}) AS t, decimal_arb_sub({_D}, '0.5') AS s, decimal_arb_div({_D}, '4') AS d, decimal_arb_mod({_D}, '7') AS m, decimal_arb_neg({_D}) AS n, decimal_arb_abs(decimal_arb_neg({_D})) AS a, decimal_arb_rescale({_D}, 90, 4) AS r, decimal_arb_restamp({_D}, {_D}) AS rs, decimal_arb_greatest({_D}, '10.00', NULL) AS g, decimal_arb_least({_D}, '10.00') AS l FROM part", f"SELECT p_partkey, p_size::DECIMAL(12,2)::VARCHAR AS t, (p_size::DECIMAL(12,2) - 0.50)::DECIMAL(12,2)::VARCHAR AS s, (p_size * 0.25::DECIMAL(4,2))::DECIMAL(20,2)::VARCHAR || repeat('0', 16) AS d, (p_size % 7)::DECIMAL(12,2)::VARCHAR AS m, (-p_size)::DECIMAL(12,2)::VARCHAR AS n, p_size::DECIMAL(12,2)::VARCHAR AS a, p_size::DECIMAL(14,4)::VARCHAR AS r, p_size::DECIMAL(12,2)::VARCHAR AS rs, greatest(p_size, 10)::DECIMAL(12,2)::VARCHAR AS g, least(p_size, 10)::DECIMAL(12,2)::VARCHAR AS l, {_I} FROM part")
+_narrow("decimal_conversions", "part", "p_partkey", f"SELECT p_partkey, to_decimal_arb_from_string('12.5', 80, 2) AS s, try_to_decimal_arb_from_string('x', 80, 2) AS t, to_decimal_arb_from_decimal128(CAST(p_size AS decimal(10,2))) AS f, to_decimal_arb_from_decimal256(CAST(p_size AS decimal(38,1))) AS g, CAST(decimal_arb_to_decimal128('2.345', 10, 2) AS string) AS d, decimal_arb_to_decimal256('2.355', 60, 2) AS e, decimal_arb_cast_numeric({_D}, {_D}) AS c, decimal_arb_cast_wide_decimal('1.005', to_decimal_arb_from_string('1.005', 80, 2)) AS w, decimal_arb_try_cast_wide_decimal('123', try_to_decimal_arb_from_string('123', 3, 2)) AS x, legacy_wide_int_to_decimal_arb(_gs_hex_to_byte(concat(repeat('00', 31), '2a'))) AS i FROM part", f"SELECT p_partkey, '12.50' AS s, NULL::VARCHAR AS t, p_size::DECIMAL(10,2)::VARCHAR AS f, p_size::DECIMAL(20,1)::VARCHAR AS g, '2.34' AS d, '2.36' AS e, p_size::DECIMAL(12,2)::VARCHAR AS c, '1.01' AS w, NULL::VARCHAR AS x, '42' AS i, {_I} FROM part")
+_narrow("decimal_arrays", "part", "p_partkey", f"SELECT p_partkey, decimal_arb_array_min([{_D}, '10.00', NULL]) AS mi, decimal_arb_array_max([{_D}, '10.00']) AS ma, array_join(decimal_arb_array_sort(['10.00', '2', '-3.5']), ',') AS so, array_join(decimal_arb_array_sort(['10.00', '2', '-3.5'], 'DESC'), ',') AS de FROM part", f"SELECT p_partkey, least(p_size, 10)::DECIMAL(12,2)::VARCHAR AS mi, greatest(p_size, 10)::DECIMAL(12,2)::VARCHAR AS ma, '-3.5,2,10.00' AS so, '10.00,2,-3.5' AS de, {_I} FROM part")
+
+_W = "CAST(p_size AS DECIMAL(80, 20))"
+_narrow("wide_operators", "part", "p_partkey", f"SELECT p_partkey, a + b AS s, a - 1 AS d, a * '2.50' AS m, a % 7 AS r, -a AS n, a > 10 AS gt, a = 10 AS eq, a <> 10 AS ne, a IN (1, 2, 3) AS among, a / 4 AS q FROM (SELECT p_partkey, {_W} AS a, CAST(p_partkey AS DECIMAL(50, 1)) AS b FROM part) AS t WHERE a >= 3", f"SELECT p_partkey, (p_size + p_partkey)::VARCHAR || '.' || repeat('0', 20) AS s, (p_size - 1)::VARCHAR || '.' || repeat('0', 20) AS d, (p_size * 2.5::DECIMAL(3,1))::DECIMAL(20,1)::VARCHAR || repeat('0', 21) AS m, (p_size % 7)::VARCHAR || '.' || repeat('0', 20) AS r, '-' || p_size::VARCHAR || '.' || repeat('0', 20) AS n, p_size > 10 AS gt, p_size = 10 AS eq, p_size <> 10 AS ne, p_size IN (1, 2, 3) AS among, (p_size * 0.25::DECIMAL(3,2))::DECIMAL(20,2)::VARCHAR || repeat('0', 18) AS q, {_I} FROM part WHERE p_size >= 3")
+_wide("wide_sql_aggregates", "part", f"SELECT p_brand, sum(a) AS s, min(a) AS low, max(a) AS high, avg(a) AS mean, count(a) AS n FROM (SELECT p_brand, CAST(p_size AS DECIMAL(60, 2)) AS a FROM part) AS t GROUP BY p_brand", "SELECT p_brand, sum(p_size)::VARCHAR || '.00' AS s, min(p_size)::VARCHAR || '.00' AS low, max(p_size)::VARCHAR || '.00' AS high, ((sum(p_size)::HUGEINT * 1000 // count(*) + CASE WHEN 2 * (sum(p_size)::HUGEINT * 1000 % count(*)) > count(*) OR (2 * (sum(p_size)::HUGEINT * 1000 % count(*)) = count(*) AND (sum(p_size)::HUGEINT * 1000 // count(*)) % 2 = 1) THEN 1 ELSE 0 END)::DECIMAL(30,0) * 0.001::DECIMAL(4,3))::DECIMAL(34,3)::VARCHAR AS mean, count(*) AS n FROM part GROUP BY p_brand")
+_wide("wide_order", "part", "SELECT p_partkey, row_number() OVER (ORDER BY a DESC, p_partkey) AS place FROM (SELECT p_partkey, CAST(p_size - 20 AS DECIMAL(60, 5)) AS a FROM part) AS t ORDER BY a, p_partkey LIMIT 20", "SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part ORDER BY p_size, p_partkey LIMIT 20")
+
+from rillflow import node_queries  # noqa: E402, F401
