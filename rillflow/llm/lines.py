@@ -8,29 +8,58 @@ lines of 39 characters and more similar; shorter ones are further apart than the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm import linking
-from rillflow.llm.common import bounded_batches, fresh, mix, written
+from rillflow.llm.common import bounded_batches, fresh, mix, parts, scan_bytes, written
 
 #: Characters of a shingle: a power of two, so that hashes double.
 SHINGLE = 4
-#: At a similarity of 0.8, 10 bands of 3 minima miss eight candidates in ten thousand, at 0.9 two in a million.
-BANDS, ROWS = 10, 3
+#: At a similarity of 0.8, 39 bands of 8 minima miss eight candidates in ten thousand, at 0.9 not one in a million;
+#: unlike lines of one language (0.1 to 0.3) hardly ever share one.
+BANDS, ROWS = 39, 8
 LEAST = 0.8
-CHUNK = 128
+#: Bits of a sketch. Of two lines at the threshold a tenth of the bits differ; more than APART do in about one pair of ten thousand
+#: (one in a thousand under 12 characters), and in all but one of two hundred pairs of unlike lines.
+SKETCH, APART = 128, 32
+#: Bins of a line: each holds the least hash of the shingles that fall into it.
+BINS = BANDS * ROWS
+#: Lines and characters signed at a time (they fit the processor's caches); characters of a long line at a time.
+CHUNK, CHUNK_CHARS, PIECE = 256, 1 << 16, 1 << 20
+#: Lines of a task whose keys are sent together; bytes of documents of a part of the keys.
+SENT, PART_BYTES = 1 << 15, 8 << 20
+#: What counts as white space at the ends of a line, for Spark as for Python (fixed values).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ASCII_SPACES = "".join(c for c in SPACES if c < "\x80")
+U64 = np.uint64
 
 _RNG = np.random.default_rng(20)
-_MULTIPLY = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+#: An empty bin borrows from others: after k rounds it has looked at 2**k - 1 of them, in an order of its own.
+_BORROW = [_RNG.permutation(BINS) for _ in range(12)]
+_MULTIPLY = _RNG.integers(0, 1 << 63, ROWS, dtype=U64) * U64(2) + U64(1)
+_BAND = mix(np.arange(1, BANDS + 1, dtype=U64))[:, None]
+_EMPTY = np.uint32(0xFFFFFFFF)
+
 
+def _flat(lines: list[str]) -> list[str]:
+    """Lines in lower case, their white space collapsed and stripped, as long as a shingle at least."""
+    text = "\n".join(lines)
+    if "  " in text or any(c in text for c in (SPACES if not text.isascii() else _ASCII_SPACES) if c not in " \n"):
+        flat = [" ".join(x.split()) for x in text.lower().split("\n")]
+    else:
+        flat = text.lower().split("\n")
+    return [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in flat]
 
-def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+
+def _shingles(flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles, one after another, and where each line's start; a short line is one shingle."""
-    flat = [" ".join(x.lower().split()).ljust(SHINGLE, "\0") for x in lines]
     size = np.fromiter(map(len, flat), np.int64, len(flat))
     h = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     step = 1
@@ -51,50 +80,143 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def features(lines: list[str]) -> list[linking.Features]:
     if not lines:
         return []
-    h, starts = _shingles(lines)
+    h, starts = _shingles(_flat([x.strip() for x in lines]))
     found = [np.unique(x) for x in np.split(h, starts[1:])]
     return [(x, None, float(len(x))) for x in found]
 
 
+def _fill(low: np.ndarray, lines: list[str], flat: bool = False) -> None:
+    """Puts the least hashes of lines into the columns of `low` (bins by lines)."""
+    h, starts = _shingles(lines if flat else _flat(lines))
+    column = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(h))))
+    bins = ((h >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64)
+    np.minimum.at(low.reshape(-1), bins * low.shape[1] + column, h.astype(np.uint32))
+
+
+def _borrowed(low: np.ndarray) -> np.ndarray:
+    """Fills empty bins from others, by the same order of bins for all lines: each stays the minimum of a random one."""
+    np.copyto(low, low[_BORROW[0]], where=low == _EMPTY)
+    flat, width = low.reshape(-1), low.shape[1]
+    cells = np.flatnonzero(flat == _EMPTY)
+    for order in _BORROW[1:]:
+        if not len(cells):
+            return low
+        row = cells // width
+        found = flat[cells + (order[row] - row) * width]
+        ok = found != _EMPTY
+        flat[cells[ok]] = found[ok]
+        cells = cells[~ok]
+    flat[cells] = low.min(0)[cells % width]
+    return low
+
+
+def _combined(low: np.ndarray) -> np.ndarray:
+    """A key for each band of bins."""
+    bands = low.reshape(BANDS, ROWS, -1)
+    out = np.repeat(_BAND, low.shape[1], 1)
+    for r, m in enumerate(_MULTIPLY):
+        out += bands[:, r] * m
+    return mix(out)
+
+
+def signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (one-permutation MinHash, empty bins borrowing from others) and sketches (a bit of every other bin), one row a line."""
+    keys, bits = np.empty((len(lines), BANDS), np.int64), np.empty((len(lines), SKETCH // 64), np.int64)
+    at = 0
+    while at < len(lines):
+        stop, size = at, 0
+        while stop < len(lines) and stop < at + CHUNK and (stop == at or size + len(lines[stop]) <= CHUNK_CHARS):
+            size += len(lines[stop])
+            stop += 1
+        low = np.full((BINS, stop - at), _EMPTY, np.uint32)
+        if size <= PIECE:
+            _fill(low, lines[at:stop])
+        else:
+            # One long line, by pieces that share the shingles' overlap.
+            text = _flat(lines[at:stop])[0]
+            for k in range(0, max(1, len(text) - SHINGLE + 1), PIECE):
+                _fill(low, [text[k : k + PIECE + SHINGLE - 1]], True)
+        low = _borrowed(low)
+        keys[at:stop] = _combined(low).T.view(np.int64)
+        bits[at:stop] = np.packbits((low[: 2 * SKETCH : 2] & np.uint32(1)).astype(np.uint8), axis=0).T.copy().view(np.int64)
+        at = stop
+    return keys, bits
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """Band keys, one row a line."""
-    h, starts = _shingles(lines)
-    h = (h >> np.uint64(32)).astype(np.uint32)
-    held = np.empty_like(h)
-    low = np.empty((BANDS * ROWS, len(lines)), np.uint64)
-    for k, m in enumerate(_MULTIPLY):
-        low[k] = np.minimum.reduceat(np.multiply(h, m, out=held), starts)
-    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(lines), 1)
-    for r in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS])
-    return key.T.astype(np.int64)
-
-
-def _keys():
-    kind = pa.struct([(f"k{n}", pa.int64()) for n in range(BANDS)])
-
-    def keys(lines: pa.Array) -> pa.Array:
-        """Null for a line of white space."""
-        texts = lines.to_pylist()
-        dark = [n for n, x in enumerate(texts) if not x.isspace()]
-        out = np.zeros((len(texts), BANDS), np.int64)
-        # Runs of lines that fit the processor's caches.
-        for i in range(0, len(dark), CHUNK):
-            out[dark[i : i + CHUNK]] = signatures([texts[n] for n in dark[i : i + CHUNK]])
-        blank = np.ones(len(texts), bool)
-        blank[dark] = False
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], fields=list(kind), mask=pa.array(blank))
-
-    return F.arrow_udf(keys, T.StructType([T.StructField(f"k{n}", T.LongType()) for n in range(BANDS)]))
+    return signed(lines)[0]
+
+
+def _sender(n: int):
+    """From texts to rows (part, what, data): the band keys of distinct lines with the lines' hashes by ranges of keys (0), and their sketches (1)."""
+
+    def send(lines: list[str], hashes: list[int]) -> Iterator[pa.RecordBatch]:
+        h = np.array(hashes, U64)
+        keys, bits = signed(lines)
+        yield _sent(hashes[0] % n, 1, h.tobytes() + np.ascontiguousarray(bits.T).tobytes())
+        keys = keys.view(U64).reshape(-1)
+        part = ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.uint16 if n <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        low, h = keys[order].astype(np.uint32), h[order // BANDS]
+        cuts = np.append(0, np.cumsum(np.bincount(part, minlength=n)))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            yield _sent(p, 0, low[cuts[p] : cuts[p + 1]].tobytes() + h[cuts[p] : cuts[p + 1]].tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Lines of a task that are equal send their keys once.
+        held: dict[int, str] = {}
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for x in t.split("\n"):
+                    x = x.strip()
+                    if x:
+                        held.setdefault(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42), x)
+                if len(held) >= SENT:
+                    yield from send(list(held.values()), list(held))
+                    held = {}
+        if held:
+            yield from send(list(held.values()), list(held))
+
+    return run
+
+
+def _sent(part: int, what: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([what], pa.int32()), pa.array([data], pa.binary())], ["part", "what", "data"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of a part that distinct lines share, and sketches (see linking.classes_of)."""
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for p, what, raw in zip(*(b.column(c).to_pylist() for c in ("part", "what", "data"))):
+            if what:
+                yield linking.sketch_rows(*np.frombuffer(raw, np.int64).reshape(1 + SKETCH // 64, -1))
+            else:
+                held.setdefault(p, []).append(raw)
+    for p in sorted(held):
+        rows = held.pop(p)
+        sizes = [len(x) // 12 for x in rows]
+        key = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(rows, sizes)])
+        line = np.concatenate([np.frombuffer(x, np.int64, n, 4 * n) if not 4 * n % 8 else np.frombuffer(x[4 * n :], np.int64, n) for x, n in zip(rows, sizes)])
+        del rows
+        yield from linking.shared_groups(key, line, p << 32)
+
+
+def _groups(docs: DataFrame, text: str) -> DataFrame:
+    n = parts(scan_bytes(docs), PART_BYTES)
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").mapInArrow(_sender(n), "part int, what int, data binary")
+    return written(rows.repartitionById(n, F.col("part")).mapInArrow(_meet, linking.GROUPS), "line-bands")
 
 
 def _exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    t = F.col(text).cast("string")
-    some = docs.where(F.col(key).isNotNull() & t.isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(t).alias("th"), F.split(t, "\n", -1).alias("all"))
+    t = F.col(f"`{text}`").cast("string")
+    k = F.col(f"`{key}`")
+    some = docs.where(k.isNotNull() & t.isNotNull()).select(k.alias("doc"), F.xxhash64(t).alias("th"), F.split(t, "\n", -1).alias("all"))
     # Apart, or every line would carry its whole text along.
-    some = some.select("doc", "th", F.posexplode("all").alias("no", "line"))
-    body = F.trim("line")
-    return some.where("line <> ''").select("doc", "th", "no", "line", F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2"))
+    some = some.select("doc", "th", F.posexplode("all").alias("no", "line")).where("line <> ''")
+    some = some.select("doc", "th", "no", "line", F.btrim("line", F.lit(SPACES)).alias("body")).where("body <> ''")
+    return some.select("doc", "th", "no", "line", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -105,16 +227,12 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     documents: no rows. Other columns don't matter.
     """
     bounded_batches(docs.sparkSession)
-    names = [f"k{n}" for n in range(BANDS)]
-    exploded = _exploded(docs, key, text)
-    marked = exploded.select("doc", "th", "no", "h1", "h2", _keys()("line").alias("keys"))
-    # A filter before writing would run the UDF twice.
-    lines = written(marked.select("doc", "th", "no", "h1", "h2", "keys.*"), "lines").where("k0 is not null")
+    lines = written(_exploded(docs, key, text).select("doc", "th", "no", "h1", "h2"), "lines")
     at = F.struct("doc", "th", "no")
-    # The first place of a line: of most lines the only one.
-    sums = [F.min(c).alias(c) for c in ("doc", "th", "no", *names)]
-    nodes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *sums)
-    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
+    # The first place of a line: of most lines the only one. Hashes of 128 bits tell lines apart; candidates
+    # go by the first 64, where the line of the least other half stands for all.
+    nodes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("doc", "th", "no")])
+    nodes = written(nodes, "line-nodes")
     twice = linking.bounded(written(nodes.where("n > 1").select("h1", "h2"), "lines-repeated"))
     firsts = lines.join(twice, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(at).alias("first"))
     firsts = linking.bounded(written(firsts, "lines-first"))
@@ -122,19 +240,25 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     def placed(some: DataFrame) -> DataFrame:
         return some.join(firsts, ["h1", "h2"], "left").withColumn("first", F.coalesce("first", at))
 
+    def sole(some: DataFrame) -> DataFrame:
+        return some.join(some.groupBy("h1").agg(F.min("h2").alias("h2")), ["h1", "h2"], "left_semi")
+
+    doc = fresh(docs, "doc")
+
     def texts(ids: DataFrame) -> DataFrame:
-        some = written(placed(nodes.join(ids, "id")).select("id", "h1", "h2", "first"), "line-candidates")
-        places = linking.bounded(written(some.select("first.doc").distinct(), "line-documents"))
-        near = _exploded(docs.join(places, F.col(key) == F.col("doc"), "left_semi"), key, text)
-        found = near.join(linking.bounded(some), ["h1", "h2"]).where(F.col("first") == at)
-        return found.select("id", F.col("line").alias("text")).dropDuplicates(["id"])
-
-    found = linking.classes(nodes.select("id", F.array(*names).alias("keys")), texts, features, least)
-    grouped = nodes.drop(*names).join(linking.bounded(found), "id", "left").where("n > 1 or class is not null").withColumn("class", F.coalesce("class", "id"))
-    grouped = written(placed(grouped).select("h1", "h2", "class", "first"), "line-groups")
-    stays = grouped.groupBy("class").agg(F.min("first").alias("stays"))
-    lookup = written(grouped.join(stays, "class").select("h1", "h2", "stays"), "line-lookup")
-    out = lines.drop(*names).join(linking.bounded(lookup), ["h1", "h2"], "left")
+        some = written(placed(sole(nodes.join(ids, nodes["h1"] == ids["id"]))).select("h1", "h2", "first"), "line-candidates")
+        places = written(some.select(F.col("first.doc").alias(doc)).distinct(), "line-documents")
+        near = docs.join(linking.bounded(places), docs[f"`{key}`"] == places[doc], "left_semi")
+        found = _exploded(near, key, text).join(linking.bounded(some), ["h1", "h2"]).where(F.col("first") == at)
+        return found.select(F.col("h1").alias("id"), F.col("line").alias("text")).dropDuplicates(["id"])
+
+    found = linking.bounded(linking.classes_of(_groups(docs.where(F.col(f"`{key}`").isNotNull()), text), texts, features, least, APART))
+    classed = written(placed(sole(nodes.join(found, nodes["h1"] == found["id"]))).select("h1", "h2", "n", "class", "first"), "line-groups")
+    stays = written(classed.groupBy("class").agg(F.min("first").alias("stays"), F.count("*").alias("rows")), "line-classes")
+    again = placed(nodes.where("n > 1").join(linking.bounded(classed.select("h1", "h2")), ["h1", "h2"], "left_anti"))
+    lookup = linking.spread(classed, stays, ["class"], "rows").select("h1", "h2", "stays", F.col("n").alias("rows"))
+    lookup = written(lookup.unionAll(again.select("h1", "h2", F.col("first").alias("stays"), F.col("n").alias("rows"))), "line-lookup")
+    out = linking.spread(lines, lookup, ["h1", "h2"], "rows", "left")
     return out.select("doc", "th", "no", F.coalesce("stays", at).alias("class"), F.coalesce(F.col("stays") == at, F.lit(True)).alias("kept"))
 
 

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import written
+from rillflow.llm.common import mix, ragged, written
 
 #: Members compared with one copy of their head; texts of a block.
 SPLIT, BLOCK = 256, 128
+#: Pairs of sketches compared at a time.
+PAIRS = 1 << 18
 #: Tables of at most so many ids or keys (8 to 40 bytes each) are broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 50_000
 #: Forests of at most so many edges are merged in one task.
 FOREST_EDGES = 500_000
 
@@ -54,6 +56,20 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def spread(large: DataFrame, small: DataFrame, on: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """`large` joined with a written table `small` of distinct keys, whose column `rows` says how many rows of `large` have the key.
+
+    Beyond the bound of a broadcast only the keys that hold a thousandth of those rows (a thousand at most) are
+    broadcast; the other keys shuffle, so that none makes a large task.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return large.join(F.broadcast(small.drop(rows)), on, how)
+    total = small.agg(F.sum(rows)).first()[0]
+    hot = F.broadcast(small.where(F.col(rows) * 1000 > total).drop(rows))
+    cold = small.where(F.col(rows) * 1000 <= total).drop(rows)
+    return large.join(hot, on).unionByName(large.join(hot, on, "left_anti").join(cold, on, how))
+
+
 class _Union:
     def __init__(self) -> None:
         self.up: dict = {}
@@ -119,16 +135,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _stars(features: Callable[[list[str]], list[Features]], least: float):
-    """Rows (head, salt, role, id, text) in order; role 0 is the head's own text."""
+    """Rows (head, shares, salt, role, id, text) in order; role 0 is the head's own text."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None
         for b in batches:
             found = []
-            for h, s, role, i, f in zip(*(b.column(c).to_pylist() for c in ("head", "salt", "role", "id")), features(b.column("text").to_pylist())):
+            for h, n, s, role, i, f in zip(*(b.column(c).to_pylist() for c in ("head", "shares", "salt", "role", "id")), features(b.column("text").to_pylist())):
                 if role == 0:
-                    key, head = (h, s), f
-                elif key == (h, s) and similar(head, f, least):
+                    key, head = (h, n, s), f
+                elif key == (h, n, s) and similar(head, f, least):
                     found.append((h, i))
             yield _pairs(found)
 
@@ -157,6 +173,54 @@ def _blocks(features: Callable[[list[str]], list[Features]], least: float):
     return check
 
 
+def _near_blocks(apart: int):
+    """Of the rows of blocks (as of _blocks, with sketches) those that another class has a near sketch for."""
+
+    def near(t: pa.Table) -> pa.RecordBatch:
+        """Whole blocks."""
+        names = ("key", "block", "rest", "role", "class", "s1", "s2")
+        key, block, rest, role, kind, s1, s2 = (t.column(c).to_numpy() for c in names)
+        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bits of a signed number are counted without its sign
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (rest[1:] != rest[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        held = np.add.reduceat(role == 0, first)
+        right = size - held
+        keep = np.zeros(len(key), bool)
+        # All held rows of a block against all others of it, some blocks at a time.
+        at = 0
+        pairs = np.cumsum(held * right)
+        while at < len(first):
+            stop = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + PAIRS, "right")))
+            of = slice(at, stop)
+            b = np.repeat(ragged(first[of] + held[of], right[of]), np.repeat(held[of], right[of]))
+            a = ragged(np.repeat(first[of], right[of]), np.repeat(held[of], right[of]))
+            ok = kind[a] != kind[b]
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(s1[a] ^ s1[b]) + np.bitwise_count(s2[a] ^ s2[b]) <= apart
+            keep[a[ok]] = keep[b[ok]] = True
+            at = stop
+        out = t.filter(pa.array(keep)).combine_chunks()
+        return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], out.schema)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rest.append(b)
+            t = pa.Table.from_batches(rest)
+            # The last block may go on.
+            last = [t.column(c).to_numpy() for c in ("key", "block", "rest")]
+            cut = int(np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in last])))[-1])
+            if cut:
+                yield near(t.slice(0, cut))
+                rest = t.slice(cut).to_batches()
+        if rest:
+            yield near(pa.Table.from_batches(rest))
+
+    return check
+
+
 def _pairs(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
@@ -165,49 +229,154 @@ def _slot(c: Column, n: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), c), n)
 
 
-def _each(n: str) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
+
+
+def _shares(n: str) -> Column:
+    return F.ceil(F.col(n) / SPLIT)
+
+
+#: Rows of groups: one with no id for each key (least and largest id, number of ids, their hash), and one for each id of a key of three or more.
+GROUPS = "key bigint, id bigint, lo bigint, hi bigint, n bigint, x bigint"
+
+
+def shared_groups(key: np.ndarray, ids: np.ndarray, base: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of GROUPS for the keys (plus `base`) that distinct ids share; of keys with the same ids one."""
+    if len(key) < 1 << 32 and key.dtype == np.uint32:
+        # Sorting values is many times faster than sorting positions by them.
+        both = np.sort((key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64))
+        order = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        same = np.diff(both >> np.uint64(32)) == 0
+    else:
+        order = np.argsort(key)
+        same = np.diff(key[order]) == 0
+    order = order[np.append(same, False) | np.append(False, same)] if len(order) > 1 else order[:0]
+    key, ids = key[order].astype(np.int64), ids[order]
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))[: len(key)]
+    key, ids = key[new], ids[new]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    n = np.diff(np.append(first, len(key)))
+    first, n = first[n > 1], n[n > 1]
+    if not len(first):
+        return
+    lo, hi = ids[first], ids[first + n - 1]
+    hashed = np.append(np.uint64(0), np.bitwise_xor.accumulate(mix(ids.view(np.uint64) + np.uint64(1))))
+    x = (hashed[first + n] ^ hashed[first]).view(np.int64)
+    once = np.unique(np.stack([lo, hi, n, x]), axis=1, return_index=True)[1]
+    first, n, lo, hi, x = (c[once] for c in (first, n, lo, hi, x))
+    for a in range(0, len(first), 1 << 16):
+        z = slice(a, a + (1 << 16))
+        yield _group_rows(key[first[z]] + base, None, lo[z], hi[z], n[z], x[z])
+    large = n > 2
+    at, of = ragged(first[large], n[large]), np.repeat(np.flatnonzero(large), n[large])
+    for a in range(0, len(at), 1 << 16):
+        z, o = at[a : a + (1 << 16)], of[a : a + (1 << 16)]
+        yield _group_rows(key[z] + base, ids[z], lo[o], None, n[o], None)
+
+
+def _group_rows(*columns) -> pa.RecordBatch:
+    size = max(len(c) for c in columns if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["key", "id", "lo", "hi", "n", "x"])
+
+
+def sketch_rows(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
+    """Rows of GROUPS that hold sketches."""
+    return _group_rows(None, ids, s1, s2, None, None)
 
 
 def classes(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[list[str]], list[Features]], least: float) -> DataFrame:
+    """classes_of for a cheap table (id bigint, keys array<bigint>) with unique ids."""
+    bands = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
+    sums = [F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x")]
+    shared = written(bands.groupBy("key").agg(*sums).where("n > 1"), "bands")
+    # Members of large keys by salted halves of the join: a key may hold a third of all ids.
+    large = shared.where("n > 2").select("key", "lo", "n", _each(_shares("n")).alias("salt"))
+    hot = bounded(written(shared.where(F.col("n") > SPLIT).select("key", "n"), "hot-keys"))
+    members = bands.join(hot, "key", "left").withColumn("salt", _slot(F.col("id"), F.coalesce(_shares("n"), F.lit(1)), 9)).drop("n")
+    members = members.join(bounded(written(large, "large-keys")), ["key", "salt"])
+    none = F.lit(None).cast("bigint")
+    groups = shared.select("key", none.alias("id"), "lo", "hi", "n", "x").unionAll(members.select("key", "id", "lo", none.alias("hi"), "n", none.alias("x")))
+    return classes_of(written(groups, "groups"), texts, features, least)
+
+
+def classes_of(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[list[str]], list[Features]], least: float, apart: int | None = None) -> DataFrame:
     """(id, class) of the ids that are similar to another: the smallest id of their class.
 
-    `nodes`: (id bigint, keys array<bigint>), a cheap table, ids unique, texts distinct. `texts`: from a
-    table of ids to (id, text). `features`: from texts to their weighted features; `least`: similarity.
+    `groups`: a written table of GROUPS, the candidates. `texts`: from a table of ids to (id, text), distinct
+    texts. `features`: from texts to their weighted features; `least`: similarity. `apart`: rows without a
+    key hold an id's sketch (128 bits in lo, hi); pairs whose sketches differ in more bits are no candidates,
+    so their texts don't travel.
     """
-    bands = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
     # Keys of equal members (equal counts, extremes and hashes) say the same: one of them is enough.
-    sums = [F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x")]
-    shared = bands.groupBy("key").agg(*sums).where("n > 1")
-    shared = written(shared.groupBy("lo", "hi", "n", "x").agg(F.min("key").alias("key")), "bands")
-    large = bounded(shared.where("n > 2").select("key", F.col("lo").alias("head"), "n"))
-    grouped = written(bands.join(large, "key"), "grouped")
-    pairs = shared.where("n = 2").select(F.col("lo").alias("head"), F.col("hi").alias("id")).unionAll(grouped.where("id <> head").select("head", "id"))
-    pairs = written(pairs.distinct(), "candidates")
+    alone = groups.where("id is null").groupBy("lo", "hi", "n", "x").agg(F.min("key").alias("key"))
+    alone = written(alone, "keys")
+    large = alone.where("n > 2").select("key", _each(_shares("n")).alias("salt"))
+    members = groups.where("id is not null and key is not null").select("key", "id", "lo", "n", _slot(F.col("id"), _shares("n"), 9).alias("salt"))
+    grouped = written(members.join(bounded(written(large, "large")), ["key", "salt"]), "grouped")
+    pairs = alone.where("n = 2").select(F.col("lo").alias("head"), F.col("hi").alias("id"), "n")
+    pairs = pairs.unionAll(grouped.where("id <> lo").select(F.col("lo").alias("head"), "id", "n")).groupBy("head", "id").agg(F.max("n").alias("n"))
+    # A head's members in shares of about SPLIT, each with a copy of the head.
+    pairs = written(pairs.select("head", "id", _shares("n").alias("shares")), "candidates")
     ids = written(pairs.select(F.explode(F.array("head", "id")).alias("id")).distinct(), "candidate-ids")
+    bits = None
+    if apart is not None:
+        bits = groups.where("key is null").select("id", F.col("lo").alias("s1"), F.col("hi").alias("s2"))
+        bits = written(bits.join(bounded(ids), "id", "left_semi").dropDuplicates(["id"]), "sketches")
+        heads = _heads(pairs).join(bits, "id").select("head", "shares", "salt", F.col("s1").alias("h1"), F.col("s2").alias("h2"))
+        members = _members(pairs).join(bits, "id").join(heads, ["head", "shares", "salt"])
+        pairs = written(members.where(_differ("s1", "h1") + _differ("s2", "h2") <= apart).select("head", "id", "shares"), "near-candidates")
+        ids = written(pairs.select(F.explode(F.array("head", "id")).alias("id")).distinct(), "near-ids")
     wanted = written(texts(bounded(ids)), "candidate-texts")
-
-    salts = pairs.groupBy("head").agg(F.ceil(F.count("*") / SPLIT).alias("n"))
-    members = pairs.join(salts, "head").select("head", _slot(F.col("id"), F.col("n"), 3).alias("salt"), F.lit(1).alias("role"), "id")
-    heads = salts.select("head", _each("n").alias("salt"), F.lit(0).alias("role"), F.col("head").alias("id"))
-    rows = heads.unionAll(members).join(wanted, "id").select("head", "salt", "role", "id", "text")
-    rows = rows.repartition("head", "salt").sortWithinPartitions("head", "salt", "role")
-    links = written(rows.mapInArrow(_stars(features, least), "a bigint, b bigint"), "links")
+    links = _verified(pairs, wanted, features, least)
     first = written(components(links), "classes")
 
     # Keys of more than two texts that hold several classes: every other class against all texts.
-    known = grouped.select("key", "id").join(bounded(first), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    known = grouped.select("key", "id", "salt").join(bounded(first), "id", "left").withColumn("class", F.coalesce("class", "id"))
     known = written(known, "known")
-    sizes = known.groupBy("key", "class").count()
+    sizes = known.groupBy("key", "class").agg(F.count("*").alias("count"))
     mains = sizes.groupBy("key").agg(F.max_by("class", F.struct("count", "class")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most")).where("most < n")
-    mains = bounded(written(mains.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("rests")), "mains"))
-    mixed = known.join(mains, "key")
+    mains = written(mains.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("rests"), _each(_shares("n")).alias("salt")), "mains")
+    if mains.isEmpty():
+        return first
+    mixed = known.join(bounded(mains), ["key", "salt"])
     block, rest = _slot(F.col("id"), F.col("blocks"), 5), _slot(F.col("id"), F.col("rests"), 7)
-    left = mixed.where("class <> main").select("key", _each("blocks").alias("block"), rest.alias("rest"), F.lit(0).alias("role"), "id", "class")
-    right = mixed.select("key", block.alias("block"), _each("rests").alias("rest"), F.lit(1).alias("role"), "id", "class")
-    rows = left.unionAll(right).join(wanted, "id").select("key", "block", "rest", "role", "id", "class", "text")
-    rows = rows.repartition("key", "block", "rest").sortWithinPartitions("key", "block", "rest", "role")
+    left = mixed.where("class <> main").select("key", _each(F.col("blocks")).alias("block"), rest.alias("rest"), F.lit(0).alias("role"), "id", "class")
+    right = mixed.select("key", block.alias("block"), _each(F.col("rests")).alias("rest"), F.lit(1).alias("role"), "id", "class")
+    rows = left.unionAll(right)
+    in_order = ("key", "block", "rest"), ("key", "block", "rest", "role")
+    if bits is not None:
+        # Only texts that have a near sketch in another class of their block travel.
+        rows = rows.join(bits, "id").select("key", "block", "rest", "role", "id", "class", "s1", "s2")
+        rows = rows.repartition(*in_order[0]).sortWithinPartitions(*in_order[1]).mapInArrow(_near_blocks(apart), rows.schema)
+        rows = written(rows, "near-in-blocks")
+        if rows.isEmpty():
+            return first
+        wanted = written(texts(bounded(written(rows.select("id").distinct(), "near-in-blocks-ids"))), "candidate-texts")
+    rows = rows.join(wanted, "id").select("key", "block", "rest", "role", "id", "class", "text")
+    rows = rows.repartition(*in_order[0]).sortWithinPartitions(*in_order[1])
     more = written(rows.mapInArrow(_blocks(features, least), "a bigint, b bigint"), "more-links")
     if more.isEmpty():
         return first
     return written(components(links.unionAll(more)), "classes")
+
+
+def _differ(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select("head", "shares", _slot(F.col("id"), F.col("shares"), 3).alias("salt"), F.lit(1).alias("role"), "id")
+
+
+def _heads(pairs: DataFrame) -> DataFrame:
+    return pairs.select("head", "shares").distinct().select("head", "shares", _each(F.col("shares")).alias("salt"), F.lit(0).alias("role"), F.col("head").alias("id"))
+
+
+def _verified(pairs: DataFrame, wanted: DataFrame, features: Callable[[list[str]], list[Features]], least: float) -> DataFrame:
+    """Links of the pairs (head, id, shares) whose texts are similar."""
+    rows = _heads(pairs).unionAll(_members(pairs)).join(wanted, "id").select("head", "shares", "salt", "role", "id", "text")
+    rows = rows.repartition("head", "shares", "salt").sortWithinPartitions("head", "shares", "salt", "role")
+    return written(rows.mapInArrow(_stars(features, least), "a bigint, b bigint"), "links")
