@@ -38,6 +38,28 @@ def _children(e) -> list:
     return [found.apply(k) for k in range(found.size())]
 
 
+def _value_start(before: str) -> int:
+    """Where the column, call or bracket begins that ends `before`; -1 if it is part of a longer expression."""
+    from rillflow.functions.dialect import _operand, _solid, _text, _tree
+    from rillflow.functions.sqltext import tokens
+
+    level, at = [0], 0
+    for kind, part in tokens(before):
+        at += len(part)
+        if kind == "other" and part in "([":
+            level.append(at)
+        elif kind == "other" and part in ")]" and len(level) > 1:
+            level.pop()
+    nodes = _tree(before[level[-1] :])
+    first = _operand(nodes)
+    if first < 0:
+        return -1
+    left = _solid(nodes, first - 1, -1) if first else -1
+    if left >= 0 and not isinstance(nodes[left], list) and nodes[left][0] == "other" and nodes[left][1] != ",":
+        return -1
+    return level[-1] + len(_text(nodes[:first]))
+
+
 class Plan:
     """Types of the wide decimals of an analysed plan, and the rewrites that its text needs."""
 
@@ -149,11 +171,15 @@ class Plan:
         if name == "Abs":
             return f"rf_decimal_abs({_text(next(n for n in _tree(text) if isinstance(n, Group)))})"
         if name == "In":
-            told = re.fullmatch(r"(.*?\S)\s+(not\s+)?in\s*(\(.*\))", text, re.I | re.S)
-            value, negated, listed = self._operand(parts[0], told[1]), told[2], told[3]
-            others = _split(next(n for n in _tree(listed) if isinstance(n, Group)))
+            # The place of a predicate begins behind its value.
+            told = re.fullmatch(r"\s*(not\s+)?in\s*(\(.*\))\s*", text, re.I | re.S)
+            start = _value_start(self.sql[: here[0]]) if told else -1
+            if start < 0:
+                raise ValueError(f"unsupported on wide decimals: {text}")
+            value = self._operand(parts[0], self.sql[start : here[0]].strip())
+            others = _split(next(n for n in _tree(told[2]) if isinstance(n, Group)))
             tests = " OR ".join(f"rf_decimal_compare({value}, {self._operand(x, _text(o).strip())}) = 0" for x, o in zip(parts[1:], others))
-            return f"({'NOT ' if negated else ''}({tests}))"
+            self.spots[start, here[1]] = f"({'NOT ' if told[1] else ''}({tests}))"
         return None
 
     def _aggregate(self, name: str, kind: Type, here: tuple[int, int]) -> str:
