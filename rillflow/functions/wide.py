@@ -148,7 +148,11 @@ class Plan:
         text = self.sql[here[0] : here[1]] if here else ""
         if name in ("Sum", "Average", "Min", "Max") and parts and self.type(parts[0]) and here:
             return self._aggregate(name, self.type(parts[0]), here)
-        if here is None or not any(self.type(x) for x in parts):
+        if not any(self.type(x) for x in parts):
+            return None
+        if here is None:
+            if name in _ARITHMETIC or name in ("LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "UnaryMinus", "Abs", "In"):
+                raise ValueError(f"unsupported on wide decimals: {e}")
             return None
         if name == "SortOrder":
             kind = self.type(e.child())
@@ -197,8 +201,38 @@ class Plan:
         total = f"rf_decimal_total(array({', '.join(limbs)}), {s})"
         return total if name == "Sum" else f"rf_decimal_mean({total}, count({value}){tail}, {s})"
 
+    def _between(self, e) -> bool:
+        from rillflow.functions.dialect import halves
+
+        bounds, values = [], []
+
+        def look(x) -> None:
+            if _name(x) == "CommonExpressionDef":
+                values.append(_children(x)[0])
+            if _name(x) in ("GreaterThanOrEqual", "LessThanOrEqual"):
+                bounds.append(x)
+            for y in _children(x):
+                look(y)
+
+        look(e)
+        parts = [y for x in bounds for y in _children(x)]
+        parts[:1] = values[:1] or parts[:1]
+        if not any(self.type(x) for x in parts):
+            return False
+        here = self.span(e)
+        told = re.fullmatch(r"\s*(not\s+)?between\s+(.*)", self.sql[here[0] : here[1]], re.I | re.S) if here else None
+        start = _value_start(self.sql[: here[0]]) if told else -1
+        cut = halves(told[2], frozenset(["and"])) if told else None
+        if start < 0 or not cut or len(parts) != 4:
+            raise ValueError("unsupported on wide decimals: this BETWEEN")
+        value, low, high = (self._operand(x, t) for x, t in zip((parts[0], parts[1], parts[3]), (self.sql[start : here[0]].strip(), cut[0], cut[2])))
+        self.spots[start, here[1]] = f"({'NOT ' if told[1] else ''}(rf_decimal_compare({value}, {low}) >= 0 AND rf_decimal_compare({value}, {high}) <= 0))"
+        return True
+
     def _expression(self, e) -> bool:
         """Notes the innermost rewrites below and at `e`; whether there was one."""
+        if _name(e) == "Between" and self._between(e):
+            return True
         if _name(e) in ("ScalarSubquery", "ListQuery", "Exists"):
             self._walk(e.plan())
         below = [self._expression(x) for x in _children(e)]

@@ -44,7 +44,9 @@ def test_wide_columns_are_marked_and_unsupported_uses_are_errors(spark):
     assert sorted((r.id, r.w) for r in out.collect()) == [(1, "4.5000"), (2, None)]
     assert "decimal_arb" in out.schema["w"].metadata
     with pytest.raises(Exception):  # noqa: B017
-        narrow_sql(Session(spark), "SELECT id FROM (SELECT id, CAST(v AS DECIMAL(60, 4)) AS w FROM t) AS x WHERE w BETWEEN 1 AND 2", {"t": df})
+        narrow_sql(Session(spark), "SELECT id, sum(w) OVER (PARTITION BY id) AS s FROM (SELECT id, CAST(v AS DECIMAL(60, 4)) AS w FROM t) AS x", {"t": df})
+    some = narrow_sql(Session(spark), "SELECT id FROM (SELECT id, CAST(v AS DECIMAL(60, 4)) AS w FROM t) AS x WHERE w BETWEEN 3 AND 20 AND w IN (3.5, 7)", {"t": df})
+    assert [r.id for r in some.collect()] == [1]
 
 
 def test_batches_of_a_size():
