@@ -62,6 +62,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_KEPT: dict = {}
+
+
+def kept(shared, make):
+    """What a worker made of a broadcast value: it keeps one such thing, whichever operator's it is."""
+    key = getattr(shared, "_path", None) or id(shared)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drops what the worker has kept, in operators that keep nothing."""
+    _KEPT.clear()
+
+
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of an id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import bounded_batches, fresh, written
+from rillflow.llm.common import bounded_batches, fresh, kept, written
 
 WINDOW = 10
 #: Bytes of test windows that are searched for in one pass; more make further passes.
@@ -164,16 +164,11 @@ def _pass(shared, before: bool):
 
 
 _ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int64()))])
-_COMPILED: dict = {}
 
 
 def _searcher(shared) -> Searcher:
     """A worker compiles a block once and keeps one block."""
-    key = getattr(shared, "_path", None) or id(shared)
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = Searcher(shared.value)
-    return _COMPILED[key]
+    return kept(shared, lambda: Searcher(shared.value))
 
 
 def benchmark_hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", bench_text: str = "text", window: int = WINDOW, into: str = "hits", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm import linking
-from rillflow.llm.common import bounded_batches, fresh, mix, parts, scan_bytes, written
+from rillflow.llm.common import bounded_batches, forget, fresh, mix, parts, scan_bytes, written
 
 #: Characters of a shingle: a power of two, so that hashes double.
 SHINGLE = 4
@@ -164,6 +164,7 @@ def _sender(n: int):
             yield _sent(p, 0, low[cuts[p] : cuts[p + 1]].tobytes() + h[cuts[p] : cuts[p + 1]].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         # Lines of a task that are equal send their keys once.
         held: dict[int, str] = {}
         for b in batches:

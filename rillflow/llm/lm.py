@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import bounded_batches, fresh, parts, scan_bytes, work_dir
+from rillflow.llm.common import bounded_batches, fresh, kept, parts, scan_bytes, work_dir
 
 #: Bytes of documents for each file of the model.
 PART_BYTES, MOST_PARTS = 16 << 20, 4096
@@ -251,15 +251,10 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
-_MODELS: dict = {}
 
 
 def _model(shared) -> Model:
-    key = getattr(shared, "_path", None) or id(shared)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(shared.value)
-    return _MODELS[key]
+    return kept(shared, lambda: Model(shared.value))
 
 
 # ---- counting --------------------------------------------------------------------------------------

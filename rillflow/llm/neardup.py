@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm import linking
-from rillflow.llm.common import bounded_batches, fresh, mix, written
+from rillflow.llm.common import bounded_batches, fresh, kept, mix, written
 from rillflow.llm.decontam import words
 
 SHINGLE = 5
@@ -150,7 +150,6 @@ def word_weights(docs: DataFrame, text: str = "text", rare: float = RARE) -> tup
     return {h: idf(n) for h, n in zip(hashes, often.column("n").to_pylist())}, idf(least)
 
 
-_WEIGHERS: dict = {}
 
 
 class _Shared:
@@ -160,11 +159,7 @@ class _Shared:
         self.shared = shared
 
     def weigher(self) -> Weigher:
-        key = getattr(self.shared, "_path", None) or id(self.shared)
-        if key not in _WEIGHERS:
-            _WEIGHERS.clear()
-            _WEIGHERS[key] = Weigher(*self.shared.value)
-        return _WEIGHERS[key]
+        return kept(self.shared, lambda: Weigher(*self.shared.value))
 
     def __call__(self, texts: list[str | None]) -> list[linking.Features]:
         return [f for i in range(0, len(texts), 200) for f in self.weigher().many(texts[i : i + 200])]

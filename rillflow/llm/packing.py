@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import bounded_batches, fresh, parts, scan_bytes
+from rillflow.llm.common import bounded_batches, fresh, kept, parts, scan_bytes
 
 CAPACITY = 2048
 #: Bytes of documents of a shard.
@@ -98,15 +98,10 @@ class Encoder:
             return b"".join(map(kept.__getitem__, chunks))
 
 
-_ENCODERS: dict = {}
 
 
 def _encoder(spec) -> Encoder:
-    key = getattr(spec, "_path", None) or id(spec)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec.value)
-    return _ENCODERS[key]
+    return kept(spec, lambda: Encoder(spec.value))
 
 
 _PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import bounded_batches, fresh
+from rillflow.llm.common import bounded_batches, forget, fresh
 
 #: Learning takes at most so many labelled rows, those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -62,6 +62,7 @@ def _measured(name: str, df: DataFrame, text: str) -> DataFrame:
     kinds = [(s, pa.float64()) for s in STATISTICS]
 
     def measure(texts: pa.Array) -> pa.Array:
+        forget()
         rows = np.array([statistics(t) for t in texts.to_pylist()], np.float64).reshape(len(texts), len(STATISTICS))
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], fields=[pa.field(*k) for k in kinds])
 
