@@ -220,6 +220,18 @@ def _exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     return some.select("doc", "th", "no", "line", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
 
 
+def _pick():
+    def pick(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        """The lines of the given numbers."""
+        out = []
+        for t, wanted in zip(texts.to_pylist(), numbers.to_pylist()):
+            t = t.split("\n")
+            out.append([t[n] for n in wanted])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(pick, T.ArrayType(T.StringType()))
+
+
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row a non-blank line: doc, th (text hash), no (from 0), class (struct doc, th, no of the line that stays), kept.
 
@@ -230,33 +242,35 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     bounded_batches(docs.sparkSession)
     lines = written(_exploded(docs, key, text).select("doc", "th", "no", "h1", "h2"), "lines")
     at = F.struct("doc", "th", "no")
-    # The first place of a line: of most lines the only one. Hashes of 128 bits tell lines apart; candidates
-    # go by the first 64, where the line of the least other half stands for all.
-    nodes = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("doc", "th", "no")])
-    nodes = written(nodes, "line-nodes")
-    twice = linking.bounded(written(nodes.where("n > 1").select("h1", "h2"), "lines-repeated"))
-    firsts = lines.join(twice, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(at).alias("first"))
-    firsts = linking.bounded(written(firsts, "lines-first"))
-
-    def placed(some: DataFrame) -> DataFrame:
-        return some.join(firsts, ["h1", "h2"], "left").withColumn("first", F.coalesce("first", at))
-
-    def sole(some: DataFrame) -> DataFrame:
-        return some.join(some.groupBy("h1").agg(F.min("h2").alias("h2")), ["h1", "h2"], "left_semi")
-
-    doc = fresh(docs, "doc")
+    # Hashes of 128 bits tell lines apart; candidates go by the first 64, where the line of the least other half
+    # stands for all.
+    nodes = written(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")), "line-nodes")
+    doc, th, wanted = (fresh(docs, c) for c in ("doc", "th", "wanted"))
+    asked: list[DataFrame] = []
 
     def texts(ids: DataFrame) -> DataFrame:
-        some = written(placed(sole(nodes.join(ids, nodes["h1"] == ids["id"]))).select("h1", "h2", "first"), "line-candidates")
-        places = written(some.select(F.col("first.doc").alias(doc)).distinct(), "line-documents")
-        near = docs.join(linking.bounded(places), docs[f"`{key}`"] == places[doc], "left_semi")
-        found = _exploded(near, key, text).join(linking.bounded(some), ["h1", "h2"]).where(F.col("first") == at)
-        return found.select(F.col("h1").alias("id"), F.col("line").alias("text")).dropDuplicates(["id"])
-
-    found = linking.bounded(linking.classes_of(_groups(docs.where(F.col(f"`{key}`").isNotNull()), text), texts, features, least, APART))
-    classed = written(placed(sole(nodes.join(found, nodes["h1"] == found["id"]))).select("h1", "h2", "n", "class", "first"), "line-groups")
+        some = written(nodes.join(ids, nodes["h1"] == ids["id"]).select("h1", "h2", "n", "first"), "line-candidates")
+        lines_asked = ids.count()
+        if some.count() > lines_asked:
+            some = written(some.join(some.groupBy("h1").agg(F.min("h2").alias("h2")), ["h1", "h2"], "left_semi"), "line-candidates")
+        asked.append(some)
+        # A document gives the wanted ones of its lines, so that no other line travels.
+        places = some.groupBy(F.col("first.doc").alias(doc), F.col("first.th").alias(th)).agg(F.collect_list(F.struct("first.no", "h1")).alias(wanted))
+        places = written(places, "line-documents")
+        t = docs[f"`{text}`"].cast("string")
+        near = docs.join(linking.bounded(places), (docs[f"`{key}`"] == places[doc]) & (F.xxhash64(t) == places[th]))
+        near = near.select(F.col(f"{wanted}.h1").alias("id"), _pick()(t, F.col(f"{wanted}.no")).alias("text"))
+        found = written(near.select(F.explode(F.arrays_zip("id", "text")).alias("x")).select("x.id", "x.text"), "line-texts")
+        # Rows that repeat key and text give their lines again.
+        return found if found.count() == lines_asked else written(found.dropDuplicates(["id"]), "line-texts")
+
+    found = linking.classes_of(_groups(docs.where(F.col(f"`{key}`").isNotNull()), text), texts, features, least, APART)
+    named = asked[0]
+    for some in asked[1:]:
+        named = named.unionAll(some)
+    classed = written(named.join(linking.bounded(found), named["h1"] == found["id"]).select("h1", "h2", "n", "class", "first"), "line-groups")
     stays = written(classed.groupBy("class").agg(F.min("first").alias("stays"), F.count("*").alias("rows")), "line-classes")
-    again = placed(nodes.where("n > 1").join(linking.bounded(classed.select("h1", "h2")), ["h1", "h2"], "left_anti"))
+    again = nodes.where("n > 1").join(linking.bounded(classed.select("h1", "h2")), ["h1", "h2"], "left_anti")
     lookup = linking.spread(classed, stays, ["class"], "rows").select("h1", "h2", "stays", F.col("n").alias("rows"))
     lookup = written(lookup.unionAll(again.select("h1", "h2", F.col("first").alias("stays"), F.col("n").alias("rows"))), "line-lookup")
     out = linking.spread(lines, lookup, ["h1", "h2"], "rows", "left")

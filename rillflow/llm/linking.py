@@ -305,8 +305,8 @@ def classes(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], features:
 def classes_of(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[list[str]], list[Features]], least: float, apart: int | None = None) -> DataFrame:
     """(id, class) of the ids that are similar to another: the smallest id of their class.
 
-    `groups`: a written table of GROUPS, the candidates. `texts`: from a table of ids to (id, text), distinct
-    texts. `features`: from texts to their weighted features; `least`: similarity. `apart`: rows without a
+    `groups`: a written table of GROUPS, the candidates. `texts`: from a table of ids to a written table
+    (id, text) of distinct texts, asked once for an id. `features`: from texts to their weighted features; `least`: similarity. `apart`: rows without a
     key hold an id's sketch (128 bits in lo, hi); pairs whose sketches differ in more bits are no candidates,
     so their texts don't travel.
     """
@@ -329,7 +329,7 @@ def classes_of(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], featu
         members = _members(pairs).join(bits, "id").join(heads, ["head", "shares", "salt"])
         pairs = written(members.where(_differ("s1", "h1") + _differ("s2", "h2") <= apart).select("head", "id", "shares"), "near-candidates")
         ids = written(pairs.select(F.explode(F.array("head", "id")).alias("id")).distinct(), "near-ids")
-    wanted = written(texts(bounded(ids)), "candidate-texts")
+    wanted = texts(bounded(ids))
     links = _verified(pairs, wanted, features, least)
     first = written(components(links), "classes")
 
@@ -354,7 +354,11 @@ def classes_of(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], featu
         rows = written(rows, "near-in-blocks")
         if rows.isEmpty():
             return first
-        wanted = written(texts(bounded(written(rows.select("id").distinct(), "near-in-blocks-ids"))), "candidate-texts")
+        ids = written(rows.select("id").distinct(), "near-in-blocks-ids")
+        missing = written(ids.join(wanted.select("id"), "id", "left_anti"), "texts-missing")
+        if not missing.isEmpty():
+            wanted = wanted.unionAll(texts(bounded(missing)))
+        wanted = wanted.join(bounded(ids), "id", "left_semi")
     rows = rows.join(wanted, "id").select("key", "block", "rest", "role", "id", "class", "text")
     rows = rows.repartition(*in_order[0]).sortWithinPartitions(*in_order[1])
     more = written(rows.mapInArrow(_blocks(features, least), "a bigint, b bigint"), "more-links")

@@ -192,7 +192,7 @@ def document_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     def texts(ids: DataFrame) -> DataFrame:
         wanted = written(nodes.join(ids, nodes["node"] == ids["id"]).select("node", "h1", "h2", "first"), "text-candidates")
         found = hashed.join(linking.bounded(wanted), ["h1", "h2"]).where(F.col("id") == F.col("first"))
-        return found.select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
+        return written(found.select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "candidate-texts")
 
     found = linking.classes(nodes.select(F.col("node").alias("id"), "keys"), texts, features, least).withColumnRenamed("id", "node")
     named = nodes.select("node", "h1", "h2", "first").join(linking.bounded(found), "node", "left")

@@ -58,3 +58,18 @@ def test_weighted_jaccard():
     assert linking.weighted_jaccard(a, b) == pytest.approx(4 / 8)
     empty = (np.zeros(0, np.uint64), np.zeros(0), 0.0)
     assert linking.weighted_jaccard(a, empty) == 0 == linking.weighted_jaccard(empty, empty)
+
+
+def test_a_text_is_asked_for_once(spark):
+    """The blocks compare texts that the stars have fetched; their sketches are all near."""
+    texts = {1: "abcdefgh", 2: "mnopqrstuv", 3: "mnopqrstu", 4: "wxyz"}
+    rows = [(7, None, 1, 4, 4, 0)] + [(7, i, 1, None, 4, None) for i in texts] + [(None, i, 0, 0, None, None) for i in texts]
+    table, asked = spark.createDataFrame(list(texts.items()), "id long, text string"), []
+
+    def fetch(ids):
+        asked.extend(r.id for r in ids.collect())
+        return table.join(ids.select("id"), "id")
+
+    got = linking.classes_of(spark.createDataFrame(rows, linking.GROUPS), fetch, lambda x: list(map(letters, x)), 0.8, 32)
+    assert {r.id: r["class"] for r in got.collect()} == {2: 2, 3: 2}
+    assert sorted(asked) == [1, 2, 3, 4]
