@@ -44,6 +44,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """`df`, or a table of it if a task that runs again may meet its rows in another order."""
+    return written(df, purpose) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def scan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's size, without running it; where it has none, 16 MB a partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

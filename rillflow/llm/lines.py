@@ -13,12 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.llm import linking
-from rillflow.llm.common import bounded_batches, forget, fresh, mix, parts, scan_bytes, written
+from rillflow.llm.common import bounded_batches, forget, fresh, mix, parts, scan_bytes, settled, written
 
 #: Characters of a shingle: a power of two, so that hashes double.
 SHINGLE = 4
@@ -33,7 +34,7 @@ SKETCH, APART = 128, 32
 BINS = BANDS * ROWS
 #: Lines and characters signed at a time (they fit the processor's caches); characters of a long line at a time.
 CHUNK, CHUNK_CHARS, PIECE = 256, 1 << 16, 1 << 20
-#: Lines of a task whose keys are sent together; bytes of documents of a part of the keys.
+#: Lines of a task whose keys are sent together (65,536 at most); bytes of documents of a part of the keys.
 SENT, PART_BYTES = 1 << 15, 8 << 20
 #: What counts as white space at the ends of a line, for Spark as for Python (fixed values).
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,6 +45,8 @@ _RNG = np.random.default_rng(20)
 #: An empty bin borrows from others: after k rounds it has looked at 2**k - 1 of them, in an order of its own.
 _BORROW = [_RNG.permutation(BINS) for _ in range(12)]
 _MULTIPLY = _RNG.integers(0, 1 << 63, ROWS, dtype=U64) * U64(2) + U64(1)
+#: In each band another 16 bits of a line's hash tell copies of it from other lines of the same key.
+_CHECK = _RNG.integers(0, 1 << 63, BANDS, dtype=U64) * U64(2) + U64(1)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U64))[:, None]
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -149,23 +152,28 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def _sender(n: int):
-    """From texts to rows (part, what, data): the band keys of distinct lines with the lines' hashes by ranges of keys (0), and their sketches (1)."""
+    """From texts to rows (part, lot, data): by ranges of keys the band keys of a lot of distinct lines, with check bits and numbers of the lines,
+    and their hashes and sketches (part by the lot; here the lot's number is turned over)."""
 
-    def send(lines: list[str], hashes: list[int]) -> Iterator[pa.RecordBatch]:
+    def send(lot: int, lines: list[str], hashes: list[int]) -> Iterator[pa.RecordBatch]:
         h = np.array(hashes, U64)
         keys, bits = signed(lines)
-        yield _sent(hashes[0] % n, 1, h.tobytes() + np.ascontiguousarray(bits.T).tobytes())
+        yield _sent(hashes[0] % n, ~lot, h.tobytes() + np.ascontiguousarray(bits.T).tobytes())
+        check = (h[:, None] * _CHECK >> U64(48)).astype(np.uint16).reshape(-1)
         keys = keys.view(U64).reshape(-1)
         part = ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.uint16 if n <= 1 << 16 else np.int64)
         order = np.argsort(part, kind="stable")
-        low, h = keys[order].astype(np.uint32), h[order // BANDS]
+        low, check, line = keys[order].astype(np.uint32), check[order], (order // BANDS).astype(np.uint16)
         cuts = np.append(0, np.cumsum(np.bincount(part, minlength=n)))
         for p in np.flatnonzero(np.diff(cuts)).tolist():
-            yield _sent(p, 0, low[cuts[p] : cuts[p + 1]].tobytes() + h[cuts[p] : cuts[p + 1]].tobytes())
+            z = slice(cuts[p], cuts[p + 1])
+            yield _sent(p, lot, low[z].tobytes() + check[z].tobytes() + line[z].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        # Lines of a task that are equal send their keys once.
+        task = TaskContext.get()
+        lot = (task.partitionId() if task else 0) << 20
+        # Lines of a lot that are equal send their keys once.
         held: dict[int, str] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -173,40 +181,43 @@ def _sender(n: int):
                     x = x.strip()
                     if x:
                         held.setdefault(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42), x)
-                if len(held) >= SENT:
-                    yield from send(list(held.values()), list(held))
-                    held = {}
+                    if len(held) >= SENT:
+                        yield from send(lot, list(held.values()), list(held))
+                        held, lot = {}, lot + 1
         if held:
-            yield from send(list(held.values()), list(held))
+            yield from send(lot, list(held.values()), list(held))
 
     return run
 
 
-def _sent(part: int, what: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([what], pa.int32()), pa.array([data], pa.binary())], ["part", "what", "data"])
+def _sent(part: int, lot: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lot], pa.int64()), pa.array([data], pa.binary())], ["part", "lot", "data"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of a part that distinct lines share, and sketches (see linking.classes_of)."""
-    held: dict[int, list[bytes]] = {}
+    """The keys of a part that distinct lines share, and sketches (see linking.classes_of); a line's id is its first lot and its number there."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
     for b in batches:
-        for p, what, raw in zip(*(b.column(c).to_pylist() for c in ("part", "what", "data"))):
-            if what:
-                yield linking.sketch_rows(*np.frombuffer(raw, np.int64).reshape(1 + SKETCH // 64, -1))
+        for p, lot, raw in zip(*(b.column(c).to_pylist() for c in ("part", "lot", "data"))):
+            if lot < 0:
+                h, *bits = np.frombuffer(raw, np.int64).reshape(1 + SKETCH // 64, -1)
+                yield linking.sketch_rows((~lot << 16) + np.arange(len(h)), *bits, h)
             else:
-                held.setdefault(p, []).append(raw)
+                held.setdefault(p, []).append((lot, raw))
     for p in sorted(held):
         rows = held.pop(p)
-        sizes = [len(x) // 12 for x in rows]
-        key = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(rows, sizes)])
-        line = np.concatenate([np.frombuffer(x, np.int64, n, 4 * n) if not 4 * n % 8 else np.frombuffer(x[4 * n :], np.int64, n) for x, n in zip(rows, sizes)])
+        sizes = [len(x) // 8 for _, x in rows]
+        key = np.concatenate([np.frombuffer(x, np.uint32, n) for (_, x), n in zip(rows, sizes)])
+        check = np.concatenate([np.frombuffer(x, np.uint16, n, 4 * n) for (_, x), n in zip(rows, sizes)])
+        line = np.concatenate([(lot << 16) + np.frombuffer(x, np.uint16, n, 6 * n).astype(np.int64) for (lot, x), n in zip(rows, sizes)])
         del rows
-        yield from linking.shared_groups(key, line, p << 32)
+        yield from linking.shared_groups(key, line, p << 32, check)
 
 
 def _groups(docs: DataFrame, text: str) -> DataFrame:
     n = parts(scan_bytes(docs), PART_BYTES)
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").mapInArrow(_sender(n), "part int, what int, data binary")
+    rows = settled(docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null"), "line-texts")
+    rows = rows.mapInArrow(_sender(n), "part int, lot bigint, data binary")
     return written(rows.repartitionById(n, F.col("part")).mapInArrow(_meet, linking.GROUPS), "line-bands")
 
 
@@ -249,17 +260,20 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     asked: list[DataFrame] = []
 
     def texts(ids: DataFrame) -> DataFrame:
-        some = written(nodes.join(ids, nodes["h1"] == ids["id"]).select("h1", "h2", "n", "first"), "line-candidates")
+        some = written(nodes.join(ids, nodes["h1"] == ids["x"]).select("id", "h1", "h2", "n", "first"), "line-candidates")
         lines_asked = ids.count()
         if some.count() > lines_asked:
-            some = written(some.join(some.groupBy("h1").agg(F.min("h2").alias("h2")), ["h1", "h2"], "left_semi"), "line-candidates")
+            some = some.join(some.groupBy("h1").agg(F.min("h2").alias("h2")), ["h1", "h2"], "left_semi").dropDuplicates(["h1"])
+            for before in asked:
+                some = some.join(before.select("h1"), "h1", "left_anti")
+            some = written(some.select("id", "h1", "h2", "n", "first"), "line-candidates")
         asked.append(some)
         # A document gives the wanted ones of its lines, so that no other line travels.
-        places = some.groupBy(F.col("first.doc").alias(doc), F.col("first.th").alias(th)).agg(F.collect_list(F.struct("first.no", "h1")).alias(wanted))
+        places = some.groupBy(F.col("first.doc").alias(doc), F.col("first.th").alias(th)).agg(F.collect_list(F.struct("first.no", "id")).alias(wanted))
         places = written(places, "line-documents")
         t = docs[f"`{text}`"].cast("string")
         near = docs.join(linking.bounded(places), (docs[f"`{key}`"] == places[doc]) & (F.xxhash64(t) == places[th]))
-        near = near.select(F.col(f"{wanted}.h1").alias("id"), _pick()(t, F.col(f"{wanted}.no")).alias("text"))
+        near = near.select(F.col(f"{wanted}.id").alias("id"), _pick()(t, F.col(f"{wanted}.no")).alias("text"))
         found = written(near.select(F.explode(F.arrays_zip("id", "text")).alias("x")).select("x.id", "x.text"), "line-texts")
         # Rows that repeat key and text give their lines again.
         return found if found.count() == lines_asked else written(found.dropDuplicates(["id"]), "line-texts")
@@ -268,7 +282,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     named = asked[0]
     for some in asked[1:]:
         named = named.unionAll(some)
-    classed = written(named.join(linking.bounded(found), named["h1"] == found["id"]).select("h1", "h2", "n", "class", "first"), "line-groups")
+    classed = written(named.join(linking.bounded(found), "id").select("h1", "h2", "n", "class", "first"), "line-groups")
     stays = written(classed.groupBy("class").agg(F.min("first").alias("stays"), F.count("*").alias("rows")), "line-classes")
     again = nodes.where("n > 1").join(linking.bounded(classed.select("h1", "h2")), ["h1", "h2"], "left_anti")
     lookup = linking.spread(classed, stays, ["class"], "rows").select("h1", "h2", "stays", F.col("n").alias("rows"))

@@ -241,8 +241,9 @@ def _shares(n: str) -> Column:
 GROUPS = "key bigint, id bigint, lo bigint, hi bigint, n bigint, x bigint"
 
 
-def shared_groups(key: np.ndarray, ids: np.ndarray, base: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows of GROUPS for the keys (plus `base`) that distinct ids share; of keys with the same ids one."""
+def shared_groups(key: np.ndarray, ids: np.ndarray, base: int = 0, check: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of GROUPS for the keys (plus `base`) that distinct ids share; of keys with the same ids one. Ids of one key
+    whose `check` is equal are copies, for which the smallest stands."""
     if len(key) < 1 << 32 and key.dtype == np.uint32:
         # Sorting values is many times faster than sorting positions by them.
         both = np.sort((key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64))
@@ -253,6 +254,12 @@ def shared_groups(key: np.ndarray, ids: np.ndarray, base: int = 0) -> Iterator[p
         same = np.diff(key[order]) == 0
     order = order[np.append(same, False) | np.append(False, same)] if len(order) > 1 else order[:0]
     key, ids = key[order].astype(np.int64), ids[order]
+    if check is not None:
+        check = check[order]
+        order = np.lexsort((ids, check, key))
+        key, ids, check = key[order], ids[order], check[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))[: len(key)]
+        key, ids = key[new], ids[new]
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
     new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))[: len(key)]
@@ -282,9 +289,9 @@ def _group_rows(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["key", "id", "lo", "hi", "n", "x"])
 
 
-def sketch_rows(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> pa.RecordBatch:
-    """Rows of GROUPS that hold sketches."""
-    return _group_rows(None, ids, s1, s2, None, None)
+def sketch_rows(ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Rows of GROUPS that hold sketches, and what `texts` knows an id by."""
+    return _group_rows(None, ids, s1, s2, None, x)
 
 
 def classes(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], features: Callable[[list[str]], list[Features]], least: float) -> DataFrame:
@@ -307,28 +314,28 @@ def classes_of(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], featu
 
     `groups`: a written table of GROUPS, the candidates. `texts`: from a table of ids to a written table
     (id, text) of distinct texts, asked once for an id. `features`: from texts to their weighted features; `least`: similarity. `apart`: rows without a
-    key hold an id's sketch (128 bits in lo, hi); pairs whose sketches differ in more bits are no candidates,
-    so their texts don't travel.
+    key hold an id's sketch (128 bits in lo, hi) and x, which the table of ids has too; pairs whose sketches differ
+    in more bits are no candidates, so their texts don't travel.
     """
     # Keys of equal members (equal counts, extremes and hashes) say the same: one of them is enough.
-    alone = groups.where("id is null").groupBy("lo", "hi", "n", "x").agg(F.min("key").alias("key"))
-    alone = written(alone, "keys")
-    large = alone.where("n > 2").select("key", _each(_shares("n")).alias("salt"))
+    alone = groups.where("id is null and n > 2").groupBy("lo", "hi", "n", "x").agg(F.min("key").alias("key"))
+    large = alone.select("key", _each(_shares("n")).alias("salt"))
     members = groups.where("id is not null and key is not null").select("key", "id", "lo", "n", _slot(F.col("id"), _shares("n"), 9).alias("salt"))
     grouped = written(members.join(bounded(written(large, "large")), ["key", "salt"]), "grouped")
-    pairs = alone.where("n = 2").select(F.col("lo").alias("head"), F.col("hi").alias("id"), "n")
+    pairs = groups.where("id is null and n = 2").select(F.col("lo").alias("head"), F.col("hi").alias("id"), "n")
     pairs = pairs.unionAll(grouped.where("id <> lo").select(F.col("lo").alias("head"), "id", "n")).groupBy("head", "id").agg(F.max("n").alias("n"))
     # A head's members in shares of about SPLIT, each with a copy of the head.
     pairs = written(pairs.select("head", "id", _shares("n").alias("shares")), "candidates")
     ids = written(pairs.select(F.explode(F.array("head", "id")).alias("id")).distinct(), "candidate-ids")
     bits = None
     if apart is not None:
-        bits = groups.where("key is null").select("id", F.col("lo").alias("s1"), F.col("hi").alias("s2"))
+        bits = groups.where("key is null").select("id", F.col("lo").alias("s1"), F.col("hi").alias("s2"), "x")
         bits = written(bits.join(bounded(ids), "id", "left_semi").dropDuplicates(["id"]), "sketches")
-        heads = _heads(pairs).join(bits, "id").select("head", "shares", "salt", F.col("s1").alias("h1"), F.col("s2").alias("h2"))
+        heads = _heads(pairs).join(bits, "id").select("head", "shares", "salt", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("x").alias("head_x"))
         members = _members(pairs).join(bits, "id").join(heads, ["head", "shares", "salt"])
-        pairs = written(members.where(_differ("s1", "h1") + _differ("s2", "h2") <= apart).select("head", "id", "shares"), "near-candidates")
-        ids = written(pairs.select(F.explode(F.array("head", "id")).alias("id")).distinct(), "near-ids")
+        pairs = written(members.where(_differ("s1", "h1") + _differ("s2", "h2") <= apart).select("head", "id", "shares", "head_x", "x"), "near-candidates")
+        ids = F.array(F.struct(F.col("head").alias("id"), F.col("head_x").alias("x")), F.struct("id", "x"))
+        ids = written(pairs.select(F.explode(ids).alias("i")).select("i.*").distinct(), "near-ids")
     wanted = texts(bounded(ids))
     links = _verified(pairs, wanted, features, least)
     first = written(components(links), "classes")
@@ -343,18 +350,20 @@ def classes_of(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], featu
         return first
     mixed = known.join(bounded(mains), ["key", "salt"])
     block, rest = _slot(F.col("id"), F.col("blocks"), 5), _slot(F.col("id"), F.col("rests"), 7)
-    left = mixed.where("class <> main").select("key", _each(F.col("blocks")).alias("block"), rest.alias("rest"), F.lit(0).alias("role"), "id", "class")
-    right = mixed.select("key", block.alias("block"), _each(F.col("rests")).alias("rest"), F.lit(1).alias("role"), "id", "class")
-    rows = left.unionAll(right)
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
+    place = lambda block, rest, role: F.struct(block.alias("block"), rest.alias("rest"), F.lit(role).alias("role"))
+    left = F.transform(F.when(F.col("class") != F.col("main"), upto("blocks")).otherwise(F.array().cast("array<bigint>")), lambda b: place(b, rest, 0))
+    right = F.transform(upto("rests"), lambda r: place(block, r, 1))
+    rows = mixed.select("key", F.explode(F.concat(left, right)).alias("at"), "id", "class").select("key", "at.*", "id", "class")
     in_order = ("key", "block", "rest"), ("key", "block", "rest", "role")
     if bits is not None:
         # Only texts that have a near sketch in another class of their block travel.
-        rows = rows.join(bits, "id").select("key", "block", "rest", "role", "id", "class", "s1", "s2")
+        rows = rows.join(bits, "id").select("key", "block", "rest", "role", "id", "class", "s1", "s2", "x")
         rows = rows.repartition(*in_order[0]).sortWithinPartitions(*in_order[1]).mapInArrow(_near_blocks(apart), rows.schema)
         rows = written(rows, "near-in-blocks")
         if rows.isEmpty():
             return first
-        ids = written(rows.select("id").distinct(), "near-in-blocks-ids")
+        ids = written(rows.select("id", "x").distinct(), "near-in-blocks-ids")
         missing = written(ids.join(wanted.select("id"), "id", "left_anti"), "texts-missing")
         if not missing.isEmpty():
             wanted = wanted.unionAll(texts(bounded(missing)))

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from rillflow.llm import linking, lines
 
 from .test_linking import closure
@@ -75,3 +77,17 @@ def test_one_changed_character_of_40_to_60(spark):
         assert linking.similar(a, b, lines.LEAST)
     df = spark.createDataFrame([(1, pairs[-1][0]), (2, pairs[-1][1])], "doc_id long, text string")
     assert [r.kept for r in lines.line_classes(df).orderBy("doc").collect()] == [True, False]
+
+
+def test_keys_of_a_line_travel_in_eight_bytes_each():
+    """However many parts there are; copies in other lots count once, by the first."""
+    rng = random.Random(5)
+    texts = ["\n".join("".join(rng.choices("abcdefghij ", k=60)) for _ in range(40)) for _ in range(50)]
+    docs = [pa.RecordBatch.from_pydict({"text": texts})]
+    for n in (1, 500):
+        sent = list(lines._sender(n)(iter(docs)))
+        data = sum(len(b.column("data")[0].as_py()) for b in sent)
+        assert data <= 2000 * (8 * lines.BANDS + 24), data
+    first = [b for b in sent if b.column("lot")[0].as_py() >= 0]
+    again = [b.set_column(1, "lot", pa.array([9], pa.int64())) for b in first]
+    assert not [r for b in lines._meet(iter(first + again)) for r in b.to_pylist()]
