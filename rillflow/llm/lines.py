@@ -227,8 +227,9 @@ def _exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     some = docs.where(k.isNotNull() & t.isNotNull()).select(k.alias("doc"), F.xxhash64(t).alias("th"), F.split(t, "\n", -1).alias("all"))
     # Apart, or every line would carry its whole text along.
     some = some.select("doc", "th", F.posexplode("all").alias("no", "line")).where("line <> ''")
-    some = some.select("doc", "th", "no", "line", F.btrim("line", F.lit(SPACES)).alias("body")).where("body <> ''")
-    return some.select("doc", "th", "no", "line", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
+    # From a generator a body is trimmed once, not again for the filter.
+    some = some.select("doc", "th", "no", F.explode(F.array(F.btrim("line", F.lit(SPACES)))).alias("body")).where("body <> ''")
+    return some.select("doc", "th", "no", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
 
 
 def _pick():
@@ -251,7 +252,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     documents: no rows. Other columns don't matter.
     """
     bounded_batches(docs.sparkSession)
-    lines = written(_exploded(docs, key, text).select("doc", "th", "no", "h1", "h2"), "lines")
+    lines = written(_exploded(docs, key, text), "lines")
     at = F.struct("doc", "th", "no")
     # Hashes of 128 bits tell lines apart; candidates go by the first 64, where the line of the least other half
     # stands for all.
@@ -260,7 +261,8 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     asked: list[DataFrame] = []
 
     def texts(ids: DataFrame) -> DataFrame:
-        some = written(nodes.join(ids, nodes["h1"] == ids["x"]).select("id", "h1", "h2", "n", "first"), "line-candidates")
+        some = linking.sifted(nodes, ["h1"], ids, ["x"])
+        some = written(some.join(ids, nodes["h1"] == ids["x"]).select("id", "h1", "h2", "n", "first"), "line-candidates")
         lines_asked = ids.count()
         if some.count() > lines_asked:
             some = some.join(some.groupBy("h1").agg(F.min("h2").alias("h2")), ["h1", "h2"], "left_semi").dropDuplicates(["h1"])
@@ -272,7 +274,8 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         places = some.groupBy(F.col("first.doc").alias(doc), F.col("first.th").alias(th)).agg(F.collect_list(F.struct("first.no", "id")).alias(wanted))
         places = written(places, "line-documents")
         t = docs[f"`{text}`"].cast("string")
-        near = docs.join(linking.bounded(places), (docs[f"`{key}`"] == places[doc]) & (F.xxhash64(t) == places[th]))
+        near = linking.sifted(docs, [f"`{key}`", F.xxhash64(t)], places, [doc, th])
+        near = near.join(linking.bounded(places), (docs[f"`{key}`"] == places[doc]) & (F.xxhash64(t) == places[th]))
         near = near.select(F.col(f"{wanted}.id").alias("id"), _pick()(t, F.col(f"{wanted}.no")).alias("text"))
         found = written(near.select(F.explode(F.arrays_zip("id", "text")).alias("x")).select("x.id", "x.text"), "line-texts")
         # Rows that repeat key and text give their lines again.
@@ -309,7 +312,16 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     found = line_classes(docs, key, text, least).where("not kept").groupBy("doc", "th").agg(F.collect_set("no").alias("gone"))
     doc, th, gone = (fresh(docs, c) for c in ("doc", "th", "gone"))
     found = written(found.toDF(doc, th, gone), "lines-gone")
-    keyed = docs.withColumn(th, F.xxhash64(F.col(text).cast("string")))
-    joined = keyed.join(linking.bounded(found), (F.col(key) == F.col(doc)) & (keyed[th] == found[th]), "left")
-    rest: Column = _drop()(F.col(text), F.col(gone))
-    return joined.select(*[F.when(F.col(gone).isNull(), F.col(c)).otherwise(rest).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn(th, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    rest: Column = _drop()(F.col(f"`{text}`"), F.col(gone))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def cleaned(some: DataFrame) -> DataFrame:
+        joined = some.join(linking.bounded(found), (F.col(f"`{key}`") == F.col(doc)) & (some[th] == found[th]), "left")
+        return joined.select(*[F.when(F.col(gone).isNull(), c).otherwise(rest).alias(name) if name == text else c for name, c in zip(docs.columns, columns)])
+
+    if found.count() <= linking.BROADCAST_ROWS:
+        return cleaned(keyed)
+    # Documents that keep all lines don't travel.
+    touched = linking.sieve(found, [doc, th])(F.col(f"`{key}`"), th)
+    return keyed.where(~touched).select(*columns).unionAll(cleaned(keyed.where(touched)))

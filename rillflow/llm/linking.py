@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillflow.llm.common import mix, ragged, written
 
@@ -26,6 +27,8 @@ SPLIT, BLOCK = 256, 128
 PAIRS = 1 << 18
 #: Tables of at most so many ids or keys (8 to 40 bytes each) are broadcast.
 BROADCAST_ROWS = 50_000
+#: Bits of a sieve for each of its keys, and the binary logarithm of all at most (16 MB), whatever the number of keys.
+SIEVE_BITS, SIEVE_MOST = 16, 27
 #: Forests of at most so many edges are merged in one task.
 FOREST_EDGES = 500_000
 
@@ -70,6 +73,38 @@ def spread(large: DataFrame, small: DataFrame, on: list[str], rows: str, how: st
     return large.join(hot, on).unionByName(large.join(hot, on, "left_anti").join(cold, on, how))
 
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits at the given places, by segments of 8 KB; a segment's places are in one task."""
+    at = np.unique(np.concatenate([np.zeros(0, np.int64), *[b.column(0).to_numpy() for b in batches]]))
+    for part in np.split(at, np.flatnonzero(np.diff(at >> 16)) + 1):
+        if len(part):
+            bits = np.zeros(1 << 16, bool)
+            bits[part & 0xFFFF] = True
+            yield pa.RecordBatch.from_pydict({"segment": [int(part[0] >> 16)], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def sieve(small: DataFrame, on: list[str]) -> Callable[..., Column]:
+    """A condition on as many columns as `on`, true for all values that the written table `small` has, and for few others."""
+    k = min(SIEVE_MOST, max(16, (SIEVE_BITS * small.count()).bit_length()))
+    place = lambda *c: F.shiftrightunsigned(F.xxhash64(F.lit(11), *c), 64 - k)
+    rows = small.select(place(*on).alias("at")).repartition(F.shiftright("at", 16)).mapInArrow(_segments, "segment bigint, bits binary")
+    bits = np.zeros(1 << k - 3, np.uint8)
+    for r in rows.toArrow().to_pylist():
+        bits[r["segment"] << 13 : r["segment"] + 1 << 13] = np.frombuffer(r["bits"], np.uint8)
+    shared = small.sparkSession.sparkContext.broadcast(bits)
+
+    def there(at: pa.Array) -> pa.Array:
+        at = at.to_numpy()
+        return pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return lambda *c: F.arrow_udf(there, T.BooleanType())(place(*c))
+
+
+def sifted(large: DataFrame, columns: list, small: DataFrame, on: list[str]) -> DataFrame:
+    """`large` before a join with a written table `small` that keeps matches only: if the join shuffles, most other rows go first."""
+    return large if small.count() <= BROADCAST_ROWS else large.where(sieve(small, on)(*columns))
+
+
 class _Union:
     def __init__(self) -> None:
         self.up: dict = {}
@@ -330,6 +365,7 @@ def classes_of(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], featu
     bits = None
     if apart is not None:
         bits = groups.where("key is null").select("id", F.col("lo").alias("s1"), F.col("hi").alias("s2"), "x")
+        bits = sifted(bits, ["id"], ids, ["id"])
         bits = written(bits.join(bounded(ids), "id", "left_semi").dropDuplicates(["id"]), "sketches")
         heads = _heads(pairs).join(bits, "id").select("head", "shares", "salt", F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("x").alias("head_x"))
         members = _members(pairs).join(bits, "id").join(heads, ["head", "shares", "salt"])

@@ -91,3 +91,10 @@ def test_keys_of_a_line_travel_in_eight_bytes_each():
     first = [b for b in sent if b.column("lot")[0].as_py() >= 0]
     again = [b.set_column(1, "lot", pa.array([9], pa.int64())) for b in first]
     assert not [r for b in lines._meet(iter(first + again)) for r in b.to_pylist()]
+
+
+def test_tables_beyond_a_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(d, t, "en") for d, t in DOCS] + [(1, DOCS[0][1], "en")], "doc_id long, text string, NO string")
+    want = sorted(map(str, lines.deduplicated(df).collect()))
+    monkeypatch.setattr(linking, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, lines.deduplicated(df).collect())) == want

@@ -73,3 +73,10 @@ def test_a_text_is_asked_for_once(spark):
     got = linking.classes_of(spark.createDataFrame(rows, linking.GROUPS), fetch, lambda x: list(map(letters, x)), 0.8, 32)
     assert {r.id: r["class"] for r in got.collect()} == {2: 2, 3: 2}
     assert sorted(asked) == [1, 2, 3, 4]
+
+
+def test_sieve(spark):
+    rows = spark.range(0, 3000, 3).selectExpr("id", "id + 1 AS b")
+    test = linking.sieve(rows, ["id", "b"])
+    got = spark.range(6000).selectExpr("id", "id + 1 AS b").where(test("id", "b")).collect()
+    assert {r.id for r in got} >= set(range(0, 3000, 3)) and len(got) < 1600

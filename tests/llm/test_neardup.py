@@ -78,3 +78,17 @@ def test_samples_collide_as_often_as_texts_are_similar():
         same += (neardup.samples(a) == neardup.samples(b)).sum()
         n += neardup.BANDS * neardup.ROWS * linking.weighted_jaccard(a, b)
     assert same / n == pytest.approx(1, abs=0.1)
+
+
+def test_documents_that_stay_do_not_travel(spark, monkeypatch):
+    texts = ["one two three four five six", "a b c d e f g h", "", "x y z", "one two three four five six", "m n o p q r s t u v"]
+    df = spark.createDataFrame([*enumerate(texts), (1, texts[1]), (None, "x y z")], "doc_id long, text string")
+    want = sorted(map(str, [*enumerate(texts[:4]), (5, texts[5]), (None, "x y z")]))
+    rows = lambda out: sorted(str(tuple(r)) for r in out.collect())
+    monkeypatch.setattr(neardup.linking, "BROADCAST_ROWS", 2)
+    assert rows(neardup.deduplicated(df.where("doc_id <> 1"))) == [w for w in want if not w.startswith(("(1,", "(None"))]
+    out = neardup.deduplicated(df.where("doc_id <> 1"))
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    for bound in (0, 2, 50_000):
+        monkeypatch.setattr(neardup.linking, "BROADCAST_ROWS", bound)
+        assert rows(neardup.deduplicated(df)) == want
